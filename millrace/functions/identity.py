@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fv
-from millrace.functions.text import long_numbers, plain_name, present, strip
+from millrace.functions.text import bind, long_numbers, plain_name, present, strip
 
 # RFC 3986, appendix B: scheme, authority, path, query.
 URL_PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
@@ -30,24 +30,32 @@ def link_reference(link: Column) -> Column:
     A query without any posting parameter marks a redirect, whose path is shared
     by unrelated records, so such links have no identity.
     """
-    cleaned = F.regexp_replace(strip(link), r"[\t\r\n]", "")
+    def parts(url: Column) -> Column:
+        names = ["scheme", "authority", "path", "query"]
+        return F.struct(*[F.regexp_extract(url, URL_PARTS, n + 1).alias(name)
+                          for n, name in enumerate(names)])
 
-    def part(n: int) -> Column:
-        return F.regexp_extract(cleaned, URL_PARTS, n)
+    def reference(url: Column) -> Column:
+        base = F.concat(F.lower(url["authority"]), F.regexp_replace(url["path"], "/+$", ""))
+        known = bind(_posting_pairs(url["query"]),
+                     lambda ids: F.when(ids != "", F.concat(base, F.lit("?"), ids)))
+        return (F.when(~F.startswith(F.lower(url["scheme"]), F.lit("http")), F.lit(None))
+                .when(url["authority"] == "", F.lit(None))
+                .when(url["query"] == "", base).otherwise(known))
 
-    query = part(4)
+    cleaned = F.translate(strip(link), "\t\r\n", "")
+    return F.when(F.length(link) > 0, bind(parts(cleaned), reference))
+
+
+def _posting_pairs(query: Column) -> Column:
+    """The sorted name=value pairs of a query that identify a posting, joined by `&`."""
     filled = F.filter(F.split(query, "&"), lambda p: p.rlike(r"(?s)^[^=]*=.+"))
     pairs = F.array_sort(F.transform(filled, lambda p: F.struct(
         _decoded(F.substring_index(p, "=", 1)).alias("name"),
         _decoded(F.regexp_replace(p, r"(?s)\A[^=]*=", "")).alias("value"))))
     naming = F.filter(pairs, lambda p: p["name"].rlike("(?iu)" + fv.POSTING_PARAMETER))
-    shown = F.array_join(
+    return F.array_join(
         F.transform(naming, lambda p: F.concat(F.lower(p["name"]), F.lit("="), p["value"])), "&")
-    base = F.concat(F.lower(part(2)), F.regexp_replace(part(3), "/+$", ""))
-    web = F.startswith(F.lower(part(1)), F.lit("http")) & (part(2) != "")
-    return (F.when(~web | link.isNull(), F.lit(None).cast("string"))
-            .when(query == "", base)
-            .when(shown != "", F.concat(base, F.lit("?"), shown)))
 
 
 def with_identity(records: DataFrame, ignored: Iterable[str]) -> DataFrame:
@@ -57,19 +65,15 @@ def with_identity(records: DataFrame, ignored: Iterable[str]) -> DataFrame:
     reference, `T` the plain title with one long number from link or notes.
     """
     ignored = list(ignored)
-    keyed = records.select(
-        "*",
-        name_key(F.col("company"), F.col("title"), ignored).alias("name_key"),
-        link_reference(F.col("link")).alias("link_ref"))
-    title = plain_name(F.col("title"), ignored)
-    numbers = long_numbers(F.col("link"), F.col("notes"))
-    title_tokens = F.transform(numbers, lambda n: F.concat(F.lit("T:"), title, F.lit("|"), n))
-    tokens = F.concat(
-        F.array(F.concat(F.lit("K:"), F.col("name_key"))),
-        F.when(F.col("link_ref").isNotNull(),
-               F.array(F.concat(F.lit("L:"), F.col("link_ref")))).otherwise(F.array()),
-        title_tokens)
-    return keyed.withColumn("tokens", F.array_sort(tokens))
+    keyed = records.withColumns({
+        "plain_title": plain_name(F.col("title"), ignored),
+        "name_key": name_key(F.col("company"), F.col("title"), ignored),
+        "link_ref": link_reference(F.col("link"))})
+    by_title = F.transform(long_numbers(F.col("link"), F.col("notes")), lambda n: F.concat(
+        F.lit("T:"), F.col("plain_title"), F.lit("|"), n))
+    by_name = F.array(F.concat(F.lit("K:"), "name_key"), F.concat(F.lit("L:"), "link_ref"))
+    return keyed.withColumn(
+        "tokens", F.array_sort(F.array_compact(F.concat(by_name, by_title)))).drop("plain_title")
 
 
 def valid_link(link: Column) -> Column:

@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fv
 
-# White space including the four separator control characters.
-BLANKS = r"[\s\x1c-\x1f]"
+# Everything that counts as white space, the four separator control characters included.
+BLANKS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+          "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only the space character."""
-    return strip_right(F.regexp_replace(text, rf"(?U)\A{BLANKS}+", ""))
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U){BLANKS}+\z", "")
+    return F.rtrim(text, F.lit(BLANKS))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly expression once and use it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def present(text: Column) -> Column:
@@ -67,12 +73,12 @@ def script_counts(text: Column) -> tuple[Column, Column]:
 
 def line_kind(line: Column) -> Column:
     """Kind of one light-markup line."""
-    bare = strip(line)
-    return (F.when(bare == "", "blank")
-            .when(bare.rlike(r"\A[=─—_]{5,}\z"), "rule")
-            .when(F.startswith(strip_right(line), F.lit("## ")), "heading")
-            .when(bare.rlike(r"\A[•\-*]"), "bullet")
-            .otherwise("text"))
+    return bind(strip(line), lambda bare: (
+        F.when(bare == "", "blank")
+        .when(bare.rlike(r"\A[=─—_]{5,}\z"), "rule")
+        .when(F.startswith(strip_right(line), F.lit("## ")), "heading")
+        .when(F.left(bare, F.lit(1)).isin("•", "-", "*"), "bullet")
+        .otherwise("text")))
 
 
 def tidy_lines(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace import fixed_values as fv
 from millrace.functions.identity import name_key
 from millrace.functions.rules import state_bits
+from millrace.session import settle
 
 COUNTED = ["new", "cv", "nr", "adv", "rej"]
 
@@ -52,7 +53,7 @@ def latest_before(cutoffs: DataFrame, snaps: DataFrame, cutoff: str) -> DataFram
             .drop("day", "carried", "same_day"))
 
 
-def report_windows(reports: DataFrame, snaps: DataFrame) -> DataFrame:
+def report_windows(reports: DataFrame, snaps: DataFrame, label: str = "baseline") -> DataFrame:
     """Per report time the two windows with their newer and older snapshot.
 
     `yesterday` runs from the last snapshot before yesterday to the last one before today and
@@ -72,12 +73,12 @@ def report_windows(reports: DataFrame, snaps: DataFrame) -> DataFrame:
         for k in ("end", "start", "week")])
     first = snaps.agg(F.min(F.struct("snap_ts", "label")).alias("first")).scalar()
     week = F.coalesce("week", first)
+    now = F.struct(F.col("report_ts").alias("snap_ts"), F.lit(label).alias("label"))
     whole = F.col("end").isNotNull() & F.col("start").isNotNull() & (F.col("end") != F.col("start"))
     return found.select("report_ts", F.explode(F.array(
         F.struct(F.lit("yesterday").alias("window"), F.when(whole, F.col("end")).alias("newer"),
                  F.when(whole, F.col("start")).alias("older"), F.col("end").alias("shown")),
-        F.struct(F.lit("week").alias("window"), F.lit(None).cast(
-                     "struct<snap_ts:timestamp_ntz,label:string>").alias("newer"),
+        F.struct(F.lit("week").alias("window"), F.when(week.isNotNull(), now).alias("newer"),
                  week.alias("older"), week.alias("shown")))).alias("w")) \
         .select("report_ts", "w.*")
 
@@ -95,39 +96,35 @@ def window_label() -> Column:
             .otherwise(F.concat(F.lit("Since "), date)))
 
 
-def keyed_states(rows: DataFrame, ignored: Iterable[str], *by: str) -> DataFrame:
-    """Narrow form of table rows: name key and packed states."""
-    return rows.select(*by, "row_no", name_key(F.col("company"), F.col("title"),
-                                               ignored).alias("name_key"),
-                       state_bits().alias("bits"))
+def folded_states(snapshots: DataFrame, snaps: DataFrame, ignored: Iterable[str]) -> DataFrame:
+    """The wanted snapshots, folded to (snap, name_key, bits, n, last_row).
 
+    At most sixteen rows remain per snapshot and key, so a key with many rows weighs nothing
+    in later joins. Unwanted snapshots are pruned by their partition where there is one.
+    """
+    wanted = snapshots.join(snaps, ["snap_ts", "label"], "left_semi")
+    return (wanted.select(F.struct("snap_ts", "label").alias("snap"), "row_no",
+                          name_key(F.col("company"), F.col("title"), ignored).alias("name_key"),
+                          state_bits().alias("bits"))
+            .groupBy("snap", "name_key", "bits")
+            .agg(F.count("*").alias("n"), F.max("row_no").alias("last_row")))
 
-def transition_counts(windows: DataFrame, snapshots: DataFrame, current: DataFrame,
-                      ignored: Iterable[str]) -> DataFrame:
-    """Transitions per (report_ts, window).
 
-    `current` holds the table as of each report (report_ts, row_no, fields). Rows of the newer
-    side are first folded to at most sixteen rows per key, so a key with many rows weighs
-    nothing in the join; of several older rows with one key the last counts.
-    """
-    ignored = list(ignored)
-    # Two windows per report; AQE broadcasts this side when it is small enough.
-    wanted = windows.select("report_ts", "window", "newer", "older")
-    at_snap = keyed_states(snapshots, ignored, "snap_ts", "label") \
-        .withColumn("snap", F.struct("snap_ts", "label"))
-    folded = (at_snap.groupBy("snap", "name_key", "bits").agg(F.count("*").alias("n")))
-    newer = (folded.join(wanted.where("newer is not null")
-                         .select("report_ts", "window", F.col("newer").alias("snap")), "snap")
+def transition_counts(windows: DataFrame, snapshots: DataFrame,
+                      ignored: Iterable[str]) -> DataFrame:
+    """Transitions per (report_ts, window). Of several older rows with one key the last counts;
+    every newer row counts."""
+    windows = settle(windows, "windows")
+    real = windows.where("newer is not null and older is not null")
+    snaps = real.select("newer.*").union(real.select("older.*")).distinct()
+    states = settle(folded_states(snapshots, snaps, ignored), "states")
+    ends = real.select("report_ts", "window", "newer", "older")
+    newer = (states.join(ends, states["snap"] == ends["newer"])
              .select("report_ts", "window", "name_key", "bits", "n"))
-    now = (keyed_states(current, ignored, "report_ts")
-           .groupBy("report_ts", "name_key", "bits").agg(F.count("*").alias("n"))
-           .join(wanted.where("window = 'week' and older is not null")
-                 .select("report_ts", "window"), "report_ts")
-           .select("report_ts", "window", "name_key", "bits", "n"))
-    lasts = at_snap.groupBy("snap", "name_key").agg(F.max_by("bits", "row_no").alias("old_bits"))
-    older = (lasts.join(wanted.select("report_ts", "window", F.col("older").alias("snap")), "snap")
+    lasts = states.groupBy("snap", "name_key").agg(F.max_by("bits", "last_row").alias("old_bits"))
+    older = (lasts.join(ends, lasts["snap"] == ends["older"])
              .select("report_ts", "window", "name_key", "old_bits"))
-    pairs = newer.unionByName(now).join(older, ["report_ts", "window", "name_key"], "left")
+    pairs = newer.join(older, ["report_ts", "window", "name_key"], "left")
 
     def gained(bit: int) -> Column:
         new = F.col("bits").bitwiseAND(bit) != 0
@@ -138,10 +135,10 @@ def transition_counts(windows: DataFrame, snapshots: DataFrame, current: DataFra
         F.sum(F.when(F.col("old_bits").isNull(), F.col("n")).otherwise(0)).alias("new"),
         gained(1).alias("cv"), gained(2).alias("nr"), gained(4).alias("adv"),
         gained(8).alias("rej"))
-    real = ((F.col("window") == "week") | F.col("newer").isNotNull()) & F.col("older").isNotNull()
-    joined = windows.join(counts, ["report_ts", "window"], "left")
-    return joined.select("report_ts", "window", "shown", *[
-        F.when(real, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in COUNTED])
+    void = F.col("newer").isNull() | F.col("older").isNull()
+    return windows.join(counts, ["report_ts", "window"], "left").select(
+        "report_ts", "window", "shown",
+        *[F.when(~void, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in COUNTED])
 
 
 def report_lines(counts: DataFrame, mail: DataFrame) -> DataFrame:

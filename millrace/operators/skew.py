@@ -2,54 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A key is hot from this many rows on; each of its salts takes about this many.
 HOT_ROWS = 1_000_000
-# Hot keys considered. The rest hold at most 1/2048 of all rows each.
+# Hot keys considered. Every other key holds at most 1/2048 of all rows.
 HOT_KEYS = 2048
 # Upper bound on the copies made of one right row.
 MAX_SALTS = 8192
 
 
-def hot_keys(left: DataFrame, on: list[str], hot_rows: int | None = None) -> DataFrame:
+def hot_keys(left: DataFrame, on: list[str], hot_rows: int | None = None) -> dict[int, int]:
     """Hashes of the hot keys of a frame with their number of salts.
 
-    Counting combines on the map side. The result never exceeds HOT_KEYS rows of two
-    integers, which is what makes broadcasting it safe at any size.
+    One narrow pass that combines on the map side. At most HOT_KEYS pairs of numbers reach
+    the driver, whatever the size of the frame.
     """
-    return hottest(left.groupBy(F.xxhash64(*on).alias("hot_hash")).agg(F.count("*").alias("n")),
-                   hot_rows)
+    counts = left.groupBy(F.xxhash64(*on).alias("hot_hash")).agg(F.count("*").alias("n"))
+    return hottest(counts, hot_rows)
 
 
-def hottest(counts: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def hottest(counts: DataFrame, hot_rows: int | None = None) -> dict[int, int]:
     """Same, from counts (hot_hash, n) that the caller has already."""
     hot_rows = hot_rows or HOT_ROWS
-    return (counts.where(F.col("n") >= hot_rows)
-            .orderBy(F.desc("n"), "hot_hash").limit(HOT_KEYS)
-            .groupBy("hot_hash").agg(F.sum("n").alias("n"))
-            .select("hot_hash", F.least(F.lit(MAX_SALTS),
-                                        F.ceil(F.col("n") / hot_rows)).cast("int").alias("salts")))
+    top = counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_KEYS).collect()
+    return {r["hot_hash"]: min(MAX_SALTS, -(-r["n"] // hot_rows)) for r in top}
+
+
+def _salts(on: list[str], hot: dict[int, int]) -> Column:
+    """Number of salts of a row's key. Decided from the hash on both sides, so a collision
+    only salts a key needlessly."""
+    pairs = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    return F.coalesce(pairs[F.xxhash64(*on)], F.lit(1))
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[str],
-                hot: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+                hot: dict[int, int] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Join on equal keys where any left key may be hot and right keys are unique.
 
     Rows of a hot left key are spread over several salts by the columns in `spread`, and
-    the one right row of that key is repeated per salt. Hotness is decided from the hash of
-    the key on both sides, so a hash collision only salts a key needlessly. Works for the
-    join kinds that keep or test left rows: inner, left, left_semi, left_anti.
+    the one right row of that key is repeated per salt; all other keys are joined as they
+    are. Works for the join kinds that keep or test left rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join kind {how}")
-    hot = F.broadcast(hot if hot is not None else hot_keys(left, on, hot_rows))
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    salted_left = (left.withColumn("hot_hash", F.xxhash64(*on)).join(hot, "hot_hash", "left")
-                   .withColumn("salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
-                   .drop("hot_hash", "salts"))
-    salted_right = (right.withColumn("hot_hash", F.xxhash64(*on)).join(hot, "hot_hash", "left")
-                    .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-                    .drop("hot_hash", "salts"))
+    if hot is None:
+        hot = hot_keys(left, on, hot_rows)
+    if not hot:
+        return left.join(right, on, how)
+    salts = _salts(on, hot)
+    salted_left = left.withColumn("salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
+    salted_right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return salted_left.join(salted_right, on + ["salt"], how).drop("salt")

@@ -7,11 +7,13 @@ the same ones. Braces name the tables.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.scan import read_records
-from millrace.session import prepare
+from millrace.session import prepare, spread_small
 
 # Records before this time are the current table, those from it on are incoming.
 SPLIT = "2024-01-04 00:00:00"
@@ -162,22 +164,30 @@ class Inputs:
         self.spark = prepare(spark)
         self.dir = sf_dir
 
+    @cache
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows get costly work: over all cores even if it is one small file."""
+        return spread_small(self.table(name))
+
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         return self.spark.sql(spark_text(text), **frames)
 
+    @cache
     def postings(self) -> DataFrame:
-        names = ["part", "events", "customer", "nation"]
-        return self._sql(POSTINGS, **{n: self.table(n) for n in names})
+        others = {n: self.table(n) for n in ("part", "customer", "nation")}
+        return self._sql(POSTINGS, events=self.spread("events"), **others)
 
+    @cache
     def board(self) -> DataFrame:
         return read_records(self._sql(BOARD, postings=self.postings()))
 
     def cells(self) -> DataFrame:
         return self._sql(CELLS, postings=self.postings())
 
+    @cache
     def incoming(self) -> DataFrame:
         return self._sql(INCOMING, postings=self.postings())
 
@@ -187,19 +197,23 @@ class Inputs:
                                      for k in keys]), lambda e: e["value"].isNotNull())
         return rows.select("ord", "ts", F.map_from_entries(entries).alias("fields"))
 
+    @cache
     def updates(self) -> DataFrame:
         return self._items(UPDATES, UPDATE_KEYS)
 
+    @cache
     def flags(self) -> DataFrame:
         return self._items(FLAGS, FLAG_KEYS)
 
     def file_names(self) -> DataFrame:
         return self._sql(FILE_NAMES, postings=self.postings())
 
+    @cache
     def snap_times(self) -> DataFrame:
         return (self._sql(SNAP_TIMES, events=self.table("events"))
                 .select(F.col("snap_at").cast("timestamp_ntz").alias("snap_ts"), "label"))
 
+    @cache
     def snapshots(self) -> DataFrame:
         """Per snapshot and (company, title) the latest posting before it.
 
@@ -228,9 +242,10 @@ class Inputs:
         noon = self.snap_times().where("date_format(snap_ts, 'HH') = '12'")
         return noon.where("snap_ts >= '2024-01-03'").select(F.col("snap_ts").alias("report_ts"))
 
+    @cache
     def messages(self) -> DataFrame:
         start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-        return (self._sql(MESSAGES, pages=self.table("pages"))
+        return (self._sql(MESSAGES, pages=self.spread("pages"))
                 .withColumn("sent_ts", start + F.make_dt_interval(F.lit(0), F.col("hours")))
                 .withColumn("headers", F.expr("""array(
                     struct('X-Test' AS name, '1' AS value), struct('SUBJECT' AS name, subject AS value),
@@ -239,8 +254,9 @@ class Inputs:
     def ledger(self) -> DataFrame:
         return self._sql(LEDGER, messages=self.messages())
 
+    @cache
     def parts(self) -> DataFrame:
-        plain = self._sql(PLAIN_PARTS, pages=self.table("pages"), documents=self.table("documents"))
+        plain = self._sql(PLAIN_PARTS, pages=self.table("pages"), documents=self.spread("documents"))
         both = (self.messages().select("message_id", F.lit(0).cast("long").alias("pos"),
                                        F.lit("text/html").alias("mime"), F.col("html").alias("text"))
                 .unionByName(plain.withColumn("mime", F.lit("text/plain"))))

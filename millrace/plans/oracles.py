@@ -288,7 +288,8 @@ def using(names: str, body: str) -> str:
     for cte in names.split():
         add(cte)
     head = {"walk": "walk(one, n, claimed, admitted) USING KEY (one)"}
-    parts = [f"{head.get(c, c)} AS ({duck_text(CTES[c])})" for c in wanted]
+    parts = [f"{head.get(c, c)} AS {'' if c in head else 'MATERIALIZED '}({duck_text(CTES[c])})"
+             for c in wanted]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
@@ -331,7 +332,7 @@ def page_text_sql(html: str) -> str:
     breaks = "|".join(fv.BREAK_TAGS)
     x = f"regexp_replace({x}, '(?i)</?(?:{breaks})(?:[\\s/][^>]*)?>', chr(10), 'g')"
     x = f"regexp_replace({x}, '(?s)<[!/a-zA-Z][^>]*>', '', 'g')"
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "),
                          ("&#39;", "''"), ("&amp;", "&")):
         x = f"replace({x}, '{entity}', '{char}')"
     x = f"regexp_replace({x}, '[{''.join(fv.INVISIBLE)}]', '', 'g')"
@@ -489,7 +490,7 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN messages m ON contains(lower(m.sender), s.sender) GROUP BY 1"""),
         "digest_render": using("texts", f"""
             , links AS (SELECT message_id, count(*) AS n, string_agg(rpad(source, 12, ' ') || ' '
-                || rpad(job_id, greatest(18, length(job_id)), ' ') || ' ' || url, chr(10)
+                || rpad(job_id, CAST(greatest(18, length(job_id)) AS INTEGER), ' ') || ' ' || url, chr(10)
                 ORDER BY pos) AS lines FROM ({link_rows_sql()}) GROUP BY 1),
             unknown AS (SELECT message_id, '(unrecognised: ' || string_agg(domain || '×' || n, ', '
                 ORDER BY place) || ')' AS line FROM ({unknown_sql()}) GROUP BY 1)

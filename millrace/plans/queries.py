@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import fixed_values as fv
@@ -19,7 +19,7 @@ WORDS = stop_words(PLACES)
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
-def text_of(column) -> F.Column:
+def text_of(column) -> Column:
     return F.date_format(column, STAMP)
 
 
@@ -32,14 +32,14 @@ def table_scan(x: Inputs) -> DataFrame:
 
 def norm_profile(x: Inputs) -> DataFrame:
     name = plain_name(F.col("text"), WORDS)
-    names = x.table("documents").select("doc_id", name_key(
+    names = x.spread("documents").select("doc_id", name_key(
         F.col("lang"), F.col("source"), WORDS).alias("name_key"), name.alias("name"))
     return names.select("doc_id", "name_key", F.md5("name").alias("name_md5"),
                         F.length("name").cast("long").alias("n_chars"))
 
 
 def digit_ids(x: Inputs) -> DataFrame:
-    fields = x.table("documents").select(
+    fields = x.spread("documents").select(
         F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("a"),
         F.col("source").alias("b")).unionByName(x.postings().select(
             F.concat(F.lit("p"), "ord").alias("id"), F.col("link").alias("a"),
@@ -49,7 +49,7 @@ def digit_ids(x: Inputs) -> DataFrame:
 
 
 def link_identity(x: Inputs) -> DataFrame:
-    links = x.table("pages").select(F.concat(F.lit("g"), "page_id").alias("id"),
+    links = x.spread("pages").select(F.concat(F.lit("g"), "page_id").alias("id"),
                                     F.col("url").alias("link")).unionByName(
         x.postings().select(F.concat(F.lit("p"), "ord").alias("id"), "link"))
     return links.select("id", link_reference(F.col("link")).alias("link_ref"))
@@ -112,12 +112,12 @@ def update_match(x: Inputs) -> DataFrame:
 
 
 def _updated(x: Inputs):
-    hits = merge.with_old_row(x.board(), merge.match_items(x.board(), x.updates(), WORDS))
+    hits = merge.target_rows(x.board(), x.updates(), WORDS)
     return hits, merge.update_changes(hits)
 
 
 def _flagged(x: Inputs):
-    hits = merge.with_old_row(x.board(), merge.match_items(x.board(), x.flags(), WORDS))
+    hits = merge.target_rows(x.board(), x.flags(), WORDS)
     return hits, merge.flag_changes(hits)
 
 
@@ -164,11 +164,8 @@ def baseline_asof(x: Inputs) -> DataFrame:
 
 
 def _activity(x: Inputs) -> DataFrame:
-    snaps = x.snapshots()
-    reports = x.reports()
-    current = snaps.join(reports, snaps["snap_ts"] == reports["report_ts"])
-    windows = diff.report_windows(reports, x.snap_times())
-    return diff.transition_counts(windows, snaps, current, WORDS)
+    windows = diff.report_windows(x.reports(), x.snap_times())
+    return diff.transition_counts(windows, x.snapshots(), WORDS)
 
 
 def activity_counts(x: Inputs) -> DataFrame:
@@ -243,12 +240,12 @@ def digest_render(x: Inputs) -> DataFrame:
 # ---- texts -------------------------------------------------------------------------
 
 def html_text(x: Inputs) -> DataFrame:
-    return x.table("pages").select("page_id", extract.html_to_text(F.col("html")).alias("text"))
+    return x.spread("pages").select("page_id", extract.html_to_text(F.col("html")).alias("text"))
 
 
 def _lines(x: Inputs) -> DataFrame:
-    texts = x.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text") \
-        .unionByName(x.table("conversations").select(
+    texts = x.spread("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text") \
+        .unionByName(x.spread("conversations").select(
             F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text"))
     return texts.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
 
@@ -261,8 +258,8 @@ def line_kinds(x: Inputs) -> DataFrame:
 
 def text_direction(x: Inputs) -> DataFrame:
     rtl, latin = script_counts(F.col("text"))
-    return x.table("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text") \
-        .unionByName(x.table("conversations").select(
+    return x.spread("documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text") \
+        .unionByName(x.spread("conversations").select(
             F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text")) \
         .select("id", rtl.alias("rtl"), latin.alias("latin"),
                 F.when(rtl >= latin, "rtl").otherwise("ltr").alias("direction"))
@@ -278,7 +275,13 @@ NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     digest_render, html_text, line_kinds, text_direction)}
 
 
+def whole_numbers(df: DataFrame) -> DataFrame:
+    """One integer type in all results."""
+    return df.select(*[F.col(n).cast("long").alias(n) if t == "int" else F.col(n)
+                       for n, t in df.dtypes])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(plan):
-        return lambda spark, sf_dir: plan(Inputs(spark, sf_dir))
+        return lambda spark, sf_dir: whole_numbers(plan(Inputs(spark, sf_dir)))
     return {name: bound(plan) for name, plan in NAMED.items()}

@@ -16,6 +16,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a scan of fewer tasks than cores one task per core. Large scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only a local session may go without."""
     context = spark.sparkContext
