@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.scan import read_records
-from millrace.session import prepare, spread_small
+from millrace.session import prepare, scratch_path, spread_small
 
 # Records before this time are the current table, those from it on are incoming.
 SPLIT = "2024-01-04 00:00:00"
@@ -143,6 +143,12 @@ SELECT page_id AS message_id, url,
 FROM {pages}
 """
 
+# Which intent file an incoming posting belongs to.
+INTENT_ROWS = """
+SELECT *, 'intent-' || lpad(CAST(ord - ord % 500 AS STRING), 10, '0') AS name
+FROM {postings} WHERE ts >= @split
+"""
+
 # Threads taken in before.
 LEDGER = "SELECT thread_id FROM {messages} WHERE url LIKE '%/en/%'"
 
@@ -262,3 +268,41 @@ class Inputs:
                 .unionByName(plain.withColumn("mime", F.lit("text/plain"))))
         coded = F.translate(F.base64(F.encode("text", "UTF-8")), "+/", "-_")
         return both.select("message_id", "pos", "mime", coded.alias("data"))
+
+    @cache
+    def documents_by_file(self) -> DataFrame:
+        """Intent files (name, value): one per five hundred postings, with some broken ones."""
+        named = self._sql(INTENT_ROWS, postings=self.postings())
+        upsert = F.to_json(F.struct("company", "title", "link", "notes", "fit", "source", "stage",
+                                    "location"))
+        update = self.updates().select("ord", F.to_json("fields").alias("update"))
+        flag = self.flags().select("ord", F.to_json("fields").alias("flag"))
+        rows = named.select("name", "ord", "source", upsert.alias("upsert")) \
+            .join(update, "ord", "left").join(flag, "ord", "left")
+
+        def listed(column: str) -> Column:
+            items = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(),
+                                                       F.struct("ord", column))))
+            return F.concat(F.lit("["), F.array_join(F.transform(
+                items, lambda x: x[column]), ","), F.lit("]"))
+
+        whole = rows.groupBy("name").agg(
+            listed("upsert").alias("a"), listed("update").alias("b"), listed("flag").alias("c"),
+            F.count_if(F.col("source") == "view").alias("views")).select("name", F.concat(
+                F.lit('{"upserts": '), "a", F.lit(', "updates": '), "b", F.lit(', "flags": '), "c",
+                F.lit(', "email_md": "'), F.concat(F.lit("part "), "name"),
+                F.lit('", "email_subject": ""'), F.lit(', "activity_gmail": {"yesterday": '),
+                F.col("views").cast("string"), F.lit(', "week": 9}}')).alias("value"))
+        broken = named.select("name").distinct().select(F.explode(F.array(
+            F.struct(F.concat("name", F.lit("-list")).alias("name"),
+                     F.lit('[{"upserts": []}]').alias("value")),
+            F.struct(F.concat("name", F.lit("-half")).alias("name"), F.lit('{"ups').alias("value")),
+            F.struct(F.concat("name", F.lit("-text")).alias("name"), F.lit('"done"').alias("value"))
+        )).alias("x")).select("x.*")
+        return whole.unionByName(broken)
+
+    def outbox(self) -> str:
+        """The same written to a new shared folder, one file each."""
+        folder = scratch_path(self.spark, "outbox")
+        self.documents_by_file().write.partitionBy("name").text(folder)
+        return folder

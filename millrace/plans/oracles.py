@@ -121,6 +121,7 @@ CTES = {
     "messages": f"SELECT *, TIMESTAMP '2024-01-01 00:00:00' + to_hours(hours) AS sent_ts "
                 f"FROM ({fx.MESSAGES})",
     "ledger": fx.LEDGER,
+    "intent_rows": fx.INTENT_ROWS,
     "plain_parts": fx.PLAIN_PARTS,
     "texts": """
         SELECT m.message_id, m.html, coalesce(p.plain, '') AS plain,
@@ -219,7 +220,8 @@ def windows(reports: str, snaps: str) -> str:
                 f"WHERE snap_ts < {cutoff})")
     return f"""
         SELECT report_ts, unnest(['yesterday', 'week']) AS "window",
-          unnest([CASE WHEN whole THEN s_end END, NULL]) AS newer,
+          unnest([CASE WHEN whole THEN s_end END, CASE WHEN s_week IS NOT NULL THEN
+            struct_pack(t := report_ts, l := 'baseline') END]) AS newer,
           unnest([CASE WHEN whole THEN s_start END, s_week]) AS older,
           unnest([s_end, s_week]) AS shown
         FROM (SELECT *, coalesce(s_end <> s_start, false) AS whole FROM (
@@ -244,15 +246,14 @@ CTES["states"] = f"""
       contains(move, '❌ Not Relevant') AS nr, {any_of('stage', fv.ACTIVE_STAGES)} AS adv,
       contains(stage, 'Rejected') AS rej FROM snapshots"""
 CTES["activity"] = """
-    SELECT report_ts, "window", shown, older IS NOT NULL AS real,
+    SELECT report_ts, "window", shown, older IS NOT NULL AND newer IS NOT NULL AS real,
       count(*) FILTER (WHERE n.k IS NOT NULL AND b.k IS NULL) AS new,
       count(*) FILTER (WHERE n.cv AND NOT coalesce(b.cv, false)) AS cv,
       count(*) FILTER (WHERE n.nr AND NOT coalesce(b.nr, false)) AS nr,
       count(*) FILTER (WHERE n.adv AND NOT coalesce(b.adv, false)) AS adv,
       count(*) FILTER (WHERE n.rej AND NOT coalesce(b.rej, false)) AS rej
     FROM activity_windows w
-    LEFT JOIN states n ON n.snap_ts = CASE WHEN w."window" = 'week' THEN w.report_ts ELSE w.newer.t END
-      AND n.label = CASE WHEN w."window" = 'week' THEN 'baseline' ELSE w.newer.l END
+    LEFT JOIN states n ON n.snap_ts = w.newer.t AND n.label = w.newer.l
     LEFT JOIN (SELECT snap_ts, label, k, arg_max(cv, row_no) AS cv, arg_max(nr, row_no) AS nr,
         arg_max(adv, row_no) AS adv, arg_max(rej, row_no) AS rej FROM states GROUP BY 1, 2, 3) b
       ON b.snap_ts = w.older.t AND b.label = w.older.l AND b.k = n.k
@@ -262,7 +263,7 @@ CTES["activity"] = """
 NEEDS = {
     "board": ["postings"], "cells": ["postings"], "incoming": ["postings"],
     "updates": ["incoming"], "flags": ["incoming"], "file_names": ["postings"],
-    "ledger": ["messages"], "texts": ["messages", "plain_parts"],
+    "ledger": ["messages"], "intent_rows": ["postings"], "texts": ["messages", "plain_parts"],
     "taken": ["board"], "valid": ["incoming"], "known": ["valid", "taken"],
     "fresh": ["valid", "known"], "walk": ["fresh"], "admitted": ["walk"],
     "claims": ["valid", "admitted"], "key_hits": ["claims", "taken"],
@@ -395,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT row_no, company, title, link, notes, '' AS salary_range, '' AS updated FROM board
             UNION ALL
             SELECT (SELECT max(row_no) FROM board) + row_number() OVER (ORDER BY ord),
-              {strip('company')}, {strip('title')}, {strip('link')}, notes, '', {DAY_STAMP}
+              company, title, link, notes, '', {DAY_STAMP}
             FROM outcomes WHERE outcome = 'admitted'"""),
         "priority_rank": using("postings", f"""
             SELECT ord + 2 AS row_no, CAST({PRIORITY} AS DOUBLE) + CAST(CASE WHEN
@@ -514,6 +515,24 @@ def oracle_sql() -> dict[str, str]:
                 WHEN left({strip('line')}, 1) IN ('•', '-', '*') THEN 'bullet' ELSE 'text' END AS kind
               FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM {texts_union()}))
             GROUP BY 1, 2""",
+        "intent_route": using("intent_rows", """
+            SELECT DISTINCT name || kind AS file, route, reason FROM intent_rows, (VALUES
+              ('', 'ready', ''), ('-half', 'pending', ''),
+              ('-list', 'failed', 'An outbox file must be a JSON object ({...}) with '
+                || 'upserts/updates/flags — got list'),
+              ('-text', 'failed', 'An outbox file must be a JSON object ({...}) with '
+                || 'upserts/updates/flags — got str')) v(kind, route, reason)"""),
+        "intent_explode": using("intent_rows updates flags", """
+            SELECT name AS file, section, row_number() OVER (PARTITION BY name, section ORDER BY ord)
+              - 1 AS pos, company, title, link FROM (
+              SELECT name, ord, 'upserts' AS section, company, title, link FROM intent_rows UNION ALL
+              SELECT name, ord, 'updates', u.company, u.title, u.gmail_link
+              FROM intent_rows JOIN updates u USING (ord) UNION ALL
+              SELECT name, ord, 'flags', g.company, g.title, g.gmail_link
+              FROM intent_rows JOIN flags g USING (ord))"""),
+        "ledger_stream": using("ledger", """
+            SELECT DISTINCT thread_id FROM messages
+            WHERE thread_id NOT IN (SELECT thread_id FROM ledger)"""),
         "text_direction": f"""
             SELECT *, CASE WHEN rtl >= latin THEN 'rtl' ELSE 'ltr' END AS direction FROM (
               SELECT id, length(regexp_replace(text, '[^\\x{{0590}}-\\x{{08FF}}]', '', 'g')) AS rtl,

@@ -12,8 +12,13 @@ from millrace.functions.identity import link_reference, name_key, with_identity
 from millrace.functions.text import (line_kind, long_numbers, plain_name, present, script_counts,
                                      stop_words)
 from millrace.operators import admit, diff, extract, merge, rank, scan
-from millrace.plans.fixtures import AS_OF, HOME, INTAKE_AT, INTAKE_DAYS, PLACES, Inputs
+from millrace.plans.fixtures import (AS_OF, HOME, INTAKE_AT, INTAKE_DAYS, MESSAGES, PLACES,
+                                     Inputs)
+from millrace.session import scratch_path
+from millrace.sources import intents
 from millrace.sources.snapshots import parsed_names
+from millrace.sources.versions import Versions
+from millrace.streaming import intake
 
 WORDS = stop_words(PLACES)
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -265,6 +270,54 @@ def text_direction(x: Inputs) -> DataFrame:
                 F.when(rtl >= latin, "rtl").otherwise("ltr").alias("direction"))
 
 
+# ---- streams -----------------------------------------------------------------------
+
+def _routes(x: Inputs) -> DataFrame:
+    out, checkpoint = [scratch_path(x.spark, n) for n in ("routes", "offsets")]
+    intake.route_stream(x.spark, x.outbox(), out, checkpoint).awaitTermination()
+    return x.spark.read.parquet(out)
+
+
+def intent_route(x: Inputs) -> DataFrame:
+    return _routes(x).select("file", "route", "reason")
+
+
+def intent_explode(x: Inputs) -> DataFrame:
+    documents = intents.contents(_routes(x))
+    rows = [intents.items(documents, s).select(
+        "file", F.lit(s).alias("section"), F.col("pos").cast("long").alias("pos"),
+        F.col("fields")["company"].alias("company"), F.col("fields")["title"].alias("title"),
+        present(F.coalesce(F.col("fields")["link"], F.col("fields")["gmail_link"])).alias("link"))
+        for s in intents.SECTIONS]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def ledger_stream(x: Inputs) -> DataFrame:
+    """Streams the page table itself as messages."""
+    schema = x.table("pages").schema
+    pages = x.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(x.dir)
+    messages = x.spark.sql(MESSAGES, pages=pages)
+    out, checkpoint = [scratch_path(x.spark, n) for n in ("ledger", "offsets")]
+    intake.ledger_stream(messages, out, checkpoint, seed=x.ledger()).awaitTermination()
+    return x.spark.read.parquet(out).select("thread_id")
+
+
+def _applied(x: Inputs) -> Versions:
+    versions = Versions(x.spark, scratch_path(x.spark, "versions")).start(x.board())
+    intake.intake_stream(x.spark, x.outbox(), versions, scratch_path(x.spark, "offsets"), WORDS,
+                         AS_OF, HOME).awaitTermination()
+    return versions
+
+
+def intent_apply(x: Inputs) -> DataFrame:
+    return _applied(x).read().select("row_no", "company", "title", "stage", "notes", "process",
+                                     "updated", "priority")
+
+
+def cycle_digest(x: Inputs) -> DataFrame:
+    return _applied(x).side("digest").drop("version")
+
+
 NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     table_scan, norm_profile, digit_ids, link_identity,
     admit_validate, admit_existing, admit_batch, admit_outcomes, admit_refusals, admit_apply,
@@ -272,7 +325,8 @@ NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     update_match, update_apply, flag_apply, audit_log,
     snapshot_catalog, snapshot_retention, baseline_asof, activity_counts, activity_report,
     message_intake, ledger_anti, mime_bodies, link_harvest, unknown_domains, source_liveness,
-    digest_render, html_text, line_kinds, text_direction)}
+    digest_render, html_text, line_kinds, text_direction,
+    intent_route, intent_explode, ledger_stream, intent_apply, cycle_digest)}
 
 
 def whole_numbers(df: DataFrame) -> DataFrame:
