@@ -32,25 +32,24 @@ def expired(snapshots: DataFrame, as_of, days: int = fv.KEEP_SNAPSHOT_DAYS) -> D
 def latest_before(cutoffs: DataFrame, snaps: DataFrame, cutoff: str) -> DataFrame:
     """Backward as-of join: adds `snap`, the last (snap_ts, label) strictly before the cutoff.
 
-    Both sides meet on the day. A day's earlier snapshots come from an equi join; failing
-    these, the last snapshot of any former day is carried along the list of days, which has
-    one row per day. Of snapshots with equal times the later label counts.
+    Both sides are put in time order within each hour, so no pairs are formed. Where the hour
+    has no earlier snapshot, the last one of any former hour is carried along the list of
+    hours, which has one row per hour of the data. Of equal times the later label counts.
     """
-    snap = F.struct("snap_ts", "label")
-    stamped = snaps.select(snap.alias("snap"), F.to_date("snap_ts").alias("day"))
-    wanted = cutoffs.withColumn("day", F.to_date(cutoff))
-    days = (wanted.select("day").distinct().withColumn("last", F.lit(None).cast(
-                stamped.schema["snap"].dataType))
-            .unionByName(stamped.groupBy("day").agg(F.max("snap").alias("last")))
-            .groupBy("day").agg(F.max("last").alias("last")))
-    former = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carried = days.select("day", F.max("last").over(former).alias("carried"))
-    same_day = (wanted.select(cutoff, "day").distinct().join(stamped, "day")
-                .where(F.col("snap.snap_ts") < F.col(cutoff))
-                .groupBy(cutoff).agg(F.max("snap").alias("same_day")))
-    return (wanted.join(carried, "day", "left").join(same_day, cutoff, "left")
-            .withColumn("snap", F.coalesce("same_day", "carried"))
-            .drop("day", "carried", "same_day"))
+    hour = F.date_trunc("hour", "at")
+    marks = snaps.groupBy(F.col("snap_ts").alias("at")).agg(F.max("label").alias("label")).select(
+        "at", F.lit(1).alias("kind"), F.struct(F.col("at").alias("snap_ts"), "label").alias("snap"))
+    points = cutoffs.select(F.col(cutoff).alias("at")).distinct().select(
+        "at", F.lit(0).alias("kind"), F.lit(None).cast(marks.schema["snap"].dataType).alias("snap"))
+    timeline = marks.unionByName(points).withColumn("hour", hour)
+    hours = timeline.groupBy("hour").agg(F.max("snap").alias("last"))
+    former = Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select("hour", F.max("last").over(former).alias("carried"))
+    so_far = Window.partitionBy("hour").orderBy("at", "kind")  # a cutoff precedes its equal
+    found = (timeline.withColumn("here", F.max("snap").over(so_far)).where("kind = 0")
+             .join(carried, "hour")
+             .select(F.col("at").alias(cutoff), F.coalesce("here", "carried").alias("snap")))
+    return cutoffs.join(found, cutoff, "left")
 
 
 def report_windows(reports: DataFrame, snaps: DataFrame, label: str = "baseline") -> DataFrame:
