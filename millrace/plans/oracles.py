@@ -288,7 +288,7 @@ def using(names: str, body: str) -> str:
 
     for cte in names.split():
         add(cte)
-    head = {"walk": "walk(one, n, claimed, admitted) USING KEY (one)"}
+    head = {"walk": "walk(one, n, claimed, admitted) USING KEY (one)", "told": "told"}
     parts = [f"{head.get(c, c)} AS {'' if c in head else 'MATERIALIZED '}({duck_text(CTES[c])})"
              for c in wanted]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
