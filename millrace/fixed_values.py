@@ -102,3 +102,39 @@ SUBJECT_PREFIX = "Job search digest"
 NO_LINKS_WARNING = ("⚠️ zero recognised links — the board may have changed its "
                     "template. Read the text below and raise a flag.")
 PART_SEPARATOR = "\n\n─────\n\n"
+
+# Lines of a rendered message digest.
+DIGEST_SUBJECT = "Subject: "
+DIGEST_FROM = "From:    "
+DIGEST_DATE = "Date:    "
+DIGEST_MAIL = "Gmail:   "
+DIGEST_NO_SUBJECT = "(no subject)"
+DIGEST_LINKS = "=== canonical job links ("
+DIGEST_LINKS_END = ") ==="
+DIGEST_UNKNOWN = "(unrecognised: "
+DIGEST_BODY = "=== email body (stripped text) ==="
+
+# Headings of the activity windows.
+WINDOW_NONE = "—"
+WINDOW_YESTERDAY = "Yesterday"
+WINDOW_UP_TO = "Up to "
+WINDOW_WEEK = "Last 7 days"
+WINDOW_SINCE = "Since "
+REPORT_HEADING = "RECENT ACTIVITY"
+
+# Notices and totals of a cycle.
+NOTICE_SAME_TITLE = " (same title + shared job id)"
+NOTICE_REJECTED = "Rejected (no valid link): "
+NOTICE_NO_UPDATE = "Status update — job not found in sheet (check spelling): "
+NOTICE_NO_FLAG = "Flag — job not found in sheet: "
+NOTICE_FAILED = "File FAILED (moved to outbox/failed/, nothing applied): "
+NOTICE_NO_OBJECT = ("An outbox file must be a JSON object ({...}) with "
+                    "upserts/updates/flags — got ")
+CYCLE_HEADING = "## 🔧 Dispatch Summary\n"
+CYCLE_RUN, CYCLE_RUNS, CYCLE_PROCESSED = "1 run", " runs", " processed · "
+CYCLE_ADDED = " jobs added · "
+CYCLE_SKIPPED = " skipped as duplicate · "
+CYCLE_UPDATED = " cells updated · "
+CYCLE_FLAGGED = " to approve\n"
+CYCLE_WARNINGS = "\n## ⚠️ Dispatch warnings — needs a look\n"
+SUBJECT_WARNINGS = "Job search digest — ⚠️ dispatch warnings "

@@ -88,11 +88,11 @@ def window_label() -> Column:
     date = F.date_format(shown, "dd/MM")
     days = F.timestamp_diff("DAY", shown, F.col("report_ts"))
     yesterday = F.to_date(shown) == F.date_sub(F.to_date("report_ts"), 1)
-    return (F.when(shown.isNull(), "—")
-            .when((F.col("window") == "yesterday") & yesterday, "Yesterday")
-            .when(F.col("window") == "yesterday", F.concat(F.lit("Up to "), date))
-            .when(days.between(6, 8), "Last 7 days")
-            .otherwise(F.concat(F.lit("Since "), date)))
+    return (F.when(shown.isNull(), fv.WINDOW_NONE)
+            .when((F.col("window") == "yesterday") & yesterday, fv.WINDOW_YESTERDAY)
+            .when(F.col("window") == "yesterday", F.concat(F.lit(fv.WINDOW_UP_TO), date))
+            .when(days.between(6, 8), fv.WINDOW_WEEK)
+            .otherwise(F.concat(F.lit(fv.WINDOW_SINCE), date)))
 
 
 def folded_states(snapshots: DataFrame, snaps: DataFrame, ignored: Iterable[str]) -> DataFrame:
@@ -148,15 +148,15 @@ def report_lines(counts: DataFrame, mail: DataFrame) -> DataFrame:
     """
     keys = ["cv", "nr", "new", "adv", "rej"]
     full = counts.join(mail, ["report_ts", "window"], "left")
-    shown = [F.struct(F.lit(0).alias("line"), F.lit("RECENT ACTIVITY").alias("metric"),
+    shown = [F.struct(F.lit(0).alias("line"), F.lit(fv.REPORT_HEADING).alias("metric"),
                       window_label().alias("value"))]
     shown += [F.struct(F.lit(n + 1).alias("line"), F.lit(fv.ACTIVITY_LABELS[k]).alias("metric"),
-                       F.coalesce(F.col(k).cast("string"), F.lit("—")).alias("value"))
+                       F.coalesce(F.col(k).cast("string"), F.lit(fv.WINDOW_NONE)).alias("value"))
               for n, k in enumerate(keys)]
     kept = F.when(F.col("previous") != "", F.col("previous"))
     shown.append(F.struct(F.lit(6).alias("line"), F.lit(fv.ACTIVITY_LABELS["mail"]).alias("metric"),
                           F.coalesce(F.col("given").cast("string"), kept,
-                                     F.lit("—")).alias("value")))
+                                     F.lit(fv.WINDOW_NONE)).alias("value")))
     return (full.select("report_ts", "window", F.explode(F.array(*shown)).alias("l"))
             .groupBy("report_ts", "l.line", "l.metric").pivot("window", ["yesterday", "week"])
             .agg(F.first("l.value")))
