@@ -67,6 +67,16 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of each byte range start:end of data."""
+    if not len(start):
+        return np.empty(0, dtype=_U)
+    up, down = _power(len(data))
+    total = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum(_LETTER[_LOWER[data] if lower else data] * up, out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
 class Words(NamedTuple):
     """Words of the rows lo to hi of a text column; first[i]:first[i + 1] are those of row lo + i."""
 
@@ -109,13 +119,7 @@ def words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
         ends[rows[1:][full] - 1] = inside[rows[1:][full] - 1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         first = np.searchsorted(start, rows)
-        if len(start):
-            up, down = _power(len(data))
-            total = np.zeros(len(data) + 1, dtype=_U)
-            np.cumsum(_LETTER[_LOWER[data] if lower else data] * up, out=total[1:])
-            hashes = mix((total[end] - total[start]) * down[start])
-        else:
-            hashes = np.empty(0, dtype=_U)
+        hashes = span_hashes(data, start, end, lower)
         yield Words(lo, hi, hashes, first, data, start, end)
 
 

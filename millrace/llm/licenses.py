@@ -133,9 +133,9 @@ tw AS (SELECT license_id, regexp_extract_all(lower(text), '{WORDS}') w FROM t),
 ts AS (SELECT DISTINCT license_id, {run} s FROM (SELECT license_id, w, unnest(range(1, len(w) - {last - 1})) i FROM tw)),
 tn AS (SELECT license_id, count(*) n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) l FROM ts GROUP BY 1),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') w FROM documents),
-ds AS (SELECT doc_id, i - 1 AS at, {run} s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {last - 1})) i FROM dw)),
-hit AS (SELECT doc_id, at, license_id, s, n, l FROM ds JOIN ts USING (s) JOIN tn USING (license_id)),
-win AS (SELECT *, at // l - o AS b FROM hit, (VALUES (0), (1)) v(o)),
+ds AS (SELECT doc_id, i - 1 AS pos, {run} s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {last - 1})) i FROM dw)),
+hit AS (SELECT doc_id, pos, license_id, s, n, l FROM ds JOIN ts USING (s) JOIN tn USING (license_id)),
+win AS (SELECT *, pos // l - o AS b FROM hit, (VALUES (0), (1)) v(o)),
 per AS (SELECT doc_id, license_id, b * l AS first_word, count(DISTINCT s) / any_value(n) AS c
         FROM win WHERE b >= 0 GROUP BY doc_id, license_id, b, l HAVING count(DISTINCT s) / any_value(n) >= {SHARE})
 SELECT doc_id, license_id, max(c) AS containment, arg_min(first_word, (-c, first_word)) AS first_word, count(*) AS n_windows

@@ -16,7 +16,7 @@ Strings that look like special tokens are ordinary text.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import span_hashes, text_chunks
 from millrace.session import scratch_path
 
 END_ID = 2
@@ -33,59 +34,108 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 PART_CHARS = 8_000_000
-MEMORY_PIECES = 150_000
-BATCH_TOKENS = 1 << 19
-CUT = re.compile(r"(?= \S)")
-ODD_SPACE = re.compile(r" (?:\s|$)")
+MEMORY_PIECES = 1_500_000
+# Bytes that begin a visible character after a space. Left out are those that also begin white space.
+PLAIN_START = np.zeros(256, dtype=bool)
+PLAIN_START[0x21:0x7F] = PLAIN_START[0xC3:0xE1] = PLAIN_START[0xE4:0xF5] = True
 
 
 class Encoder:
-    """Encodes texts with a tokenizer file; keeps the ids of up to MEMORY_PIECES pieces."""
+    """Encodes chunks of texts with a tokenizer file.
+
+    The ids of up to MEMORY_PIECES pieces are kept, found by hash and length; then it starts afresh.
+    """
 
     def __init__(self, path: str, special_as_text: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
+        (self.stop,) = self._ids("\r")
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat = np.empty(1 << 16, dtype=np.int32)
-        self.at = np.zeros(MEMORY_PIECES + 1, dtype=np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, told in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False)):
-            ids, n = told.ids, len(self.known)
-            low = int(self.at[n])
-            if low + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(ids), len(self.flat)), np.int32)])
-            self.flat[low:low + len(ids)] = ids
-            self.at[n + 1] = low + len(ids)
-            self.known[piece] = n
-
-    def __call__(self, text: str) -> np.ndarray:
-        if ODD_SPACE.search(text):
-            pieces = [p for p in CUT.split(text) if p]
-        else:
-            head, *rest = text.split(" ")
-            pieces = [" " + p for p in rest]
-            if head:
-                pieces.insert(0, head)
-        out = []
-        for low in range(0, len(pieces), MEMORY_PIECES // 2):
-            some = pieces[low:low + MEMORY_PIECES // 2]
-            new = [p for p in dict.fromkeys(some) if p not in self.known]
-            if len(self.known) + len(new) > MEMORY_PIECES:
-                self._forget()
-                new = list(dict.fromkeys(some))
-            if new:
-                self._learn(new)
-            which = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
-            first, n = self.at[which], self.at[which + 1] - self.at[which]
-            ends = np.cumsum(n)
-            if len(ends):
-                out.append(self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])])
-        return np.concatenate(out) if out else np.empty(0, np.int32)
+        self.hashes, self.entries = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)  # sorted by hash
+        self.sizes = np.empty(0, dtype=np.int32)  # in bytes, like entries
+        self.at, self.flat = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)  # by entry
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+
+    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
+        """Many pieces are encoded as one text: a carriage return between two is a token of its own if
+        the piece before it ends visibly and the next begins with a space. Others go one by one."""
+        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if p[0] == " " and not p[-1].isspace() and "\r" not in p]
+        for low in range(0, len(plain), 1_024):
+            some = plain[low:low + 1_024]
+            ids = self._ids("".join([pieces[i] + "\r" for i in some]))
+            stops = np.flatnonzero(ids == self.stop)
+            for i, own in zip(some, np.split(ids, stops + 1)):
+                out[i] = own[:-1]
+        for i in set(range(len(pieces))).difference(plain):
+            out[i] = self._ids(pieces[i])
+        return out
+
+    def _find(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces stand among the known ones, and whether they do."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        where = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return where, (self.hashes[where] == hashes) & (self.sizes[where] == sizes)
+
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
+        hashes, first = np.unique(hashes, return_index=True)
+        start, end = start[first], end[first]
+        told = self._encode([data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist())])
+        if len(self.hashes) + len(hashes) > max(MEMORY_PIECES, len(hashes)):
+            self._forget()
+        place = np.searchsorted(self.hashes, hashes)
+        n = len(self.at) - 1
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.entries = np.insert(self.entries, place, np.arange(n, n + len(hashes), dtype=np.int32))
+        self.sizes = np.insert(self.sizes, place, (end - start).astype(np.int32))
+        self.flat = np.concatenate([self.flat, *told])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in told])])
+
+    def __call__(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of rows of UTF-8 text, given their bytes and offsets."""
+        cut = np.zeros(len(data), dtype=bool)
+        cut[:-1] = (data[:-1] == 0x20) & PLAIN_START[data[1:]]
+        full = rows[1:] > rows[:-1]
+        cut[rows[1:][full] - 1] = False  # what follows the last byte of a row is another row
+        cut[rows[:-1][full]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data)) if len(start) else start
+        hashes, sizes = span_hashes(data, start, end), end - start
+        where, known = self._find(hashes, sizes)
+        if not known.all():
+            new = ~known
+            self._learn(data, start[new], end[new], hashes[new])
+            where, known = self._find(hashes, sizes)
+            if not known.all():  # it started afresh, or two pieces share a hash
+                return self._plainly(data, rows)
+        entry = self.entries[where]
+        first = self.at[entry]
+        n = self.at[entry + 1] - first
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        before = np.append(0, ends)[np.searchsorted(start, rows)]
+        return ids, np.diff(before)
+
+    def _plainly(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        told = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(rows[:-1], rows[1:])]
+        return np.concatenate([np.empty(0, np.int32), *told]), np.array([len(x) for x in told], dtype=np.int64)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: what it keeps serves the tasks that follow in the same process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
@@ -103,24 +153,21 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, parts: int | None
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before, part = Encoder(path), 0, TaskContext.get().partitionId()
+        encode, before, part = encoder(path), 0, TaskContext.get().partitionId()
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            low, lists, held = 0, [], 0
-            for i, text in enumerate(texts):
-                lists.append(np.append(encode(text), np.int32(end_id)))
-                held += len(lists[-1])
-                if held >= BATCH_TOKENS or i + 1 == len(texts):
-                    n = np.array([len(x) for x in lists], dtype=np.int64)
-                    ends = np.cumsum(n)
-                    ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),
-                                                   pa.array(np.concatenate(lists)))
-                    yield pa.RecordBatch.from_arrays(
-                        [names.slice(low, len(n)), pa.array(n), pa.array([part] * len(n), pa.int32()),
-                         pa.array(before + ends - n), ids],
-                        ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
-                    before += int(ends[-1])
-                    low, lists, held = i + 1, [], 0
+            for lo, hi, data, rows in text_chunks(batch.column(1)):
+                ids, n = encode(data, rows)
+                n = n + 1
+                ends = np.cumsum(n)
+                out = np.full(len(ids) + len(n), end_id, dtype=np.int32)
+                own = np.ones(len(out), dtype=bool)
+                own[ends - 1] = False
+                out[own] = ids
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.full(len(n), part, np.int32)),
+                     pa.array(before + ends - n), lists], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
+                before += int(ends[-1])
 
     return dealt.mapInArrow(run, "doc_id long, n_tokens long, part int, start_in_part long, ids array<int>")
 
