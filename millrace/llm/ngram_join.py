@@ -276,12 +276,15 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = D
     """The rows of smallest id of each class. Rows with a null id stay; rows that repeat an id and a
     text count once."""
     classes = settle(join(docs, width, num, den), "kept")
-    dropped = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
-    again = (classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias("id"))
-             .agg(F.count("*").alias("n")).where("n > 1").select("id"))
-    once = docs.join(listed(dropped.unionByName(again)), F.col("doc_id").cast("long") == F.col("id"), "left_anti")
-    more = (docs.join(listed(again), F.col("doc_id").cast("long") == F.col("id"), "left_semi")
-            .dropDuplicates(["doc_id", "text"]))
+    name = "id"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    dropped = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    again = (classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name))
+             .agg(F.count("*").alias("n")).where("n > 1").select(name))
+    same = F.col("doc_id").cast("long") == F.col(name)
+    once = docs.join(listed(dropped.unionByName(again)), same, "left_anti")
+    more = docs.join(listed(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more)
 
 
