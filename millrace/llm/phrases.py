@@ -8,7 +8,7 @@ same words somewhere earlier. Steps, none of which sees all windows of a text at
    so has an anchor of its own). Only anchors met in two sequences, or twice in one, matter further.
 3. Windows of such anchors are counted by hash with the smallest id: recurring ones are confirmed. In
    the document of smallest id they line up to passages, cut into pieces of bounded length.
-4. Pieces are dealt to shards of bounded size. A document goes to the shards whose pieces share an anchor
+4. Pieces are dealt to shards of bounded size. A document goes to the shards whose pieces share a window
    with it. In a task the pieces of a shard come first and are compiled into an Aho-Corasick automaton, over
    words, not letters; then the shard's documents stream through. A shard that many documents visit is
    compiled in several tasks. Every 20 words of a piece hold one of its 10-word phrases whole; hits are
@@ -167,13 +167,13 @@ def recurring_windows(texts: DataFrame) -> DataFrame:
 
 
 def passages(firsts: DataFrame) -> DataFrame:
-    """(doc, begin, phrase, anchors): pieces of passages, from texts with the hashes of the windows that
-    are first there. phrase: the piece's words, joined by spaces."""
+    """(doc, begin, phrase, windows): pieces of passages, from texts with the hashes of the windows that
+    are first there. phrase: the piece's words, joined by spaces; windows: its own hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for c in words(batch.column(1)):
-                for row, starts, hashed, own in row_anchors(c):
+                for row, _, _, own in row_anchors(c):
                     known = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
                     here = signed(runs(own, WINDOW))
                     hit = np.flatnonzero(np.isin(here, known))
@@ -186,14 +186,14 @@ def passages(firsts: DataFrame) -> DataFrame:
                             body = b" ".join(c.data[s:e].tobytes() for s, e in
                                              zip(c.start[a + low:a + high], c.end[a + low:a + high]))
                             rows.append((names[row].as_py(), low, body.decode(),
-                                         np.unique(signed(hashed[starts[piece]])).tolist()))
+                                         here[piece].tolist()))
             told = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(t, k) for t, k in zip(told, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))],
-                ["doc", "begin", "phrase", "anchors"])
+                ["doc", "begin", "phrase", "windows"])
 
     return firsts.select("doc", "text", "windows").mapInArrow(
-        run, "doc long, begin long, phrase string, anchors array<bigint>")
+        run, "doc long, begin long, phrase string, windows array<bigint>")
 
 
 class Automaton:
@@ -287,14 +287,14 @@ def find_spans(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ats = settle(places.groupBy("doc").agg(F.collect_list("at").alias("ats")), "ats")
     chosen = named(docs).select("doc", "text").join(listed(ats.select("doc")), "doc", "left_semi")
     texts = settle(chosen.distinct().join(ats, "doc").withColumn("k1", F.xxhash64("text")), "texts")
-    windows = recurring_windows(texts).groupBy("window").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"))
-    firsts = settle(windows.where("n > 1").groupBy("doc").agg(F.collect_list("window").alias("windows")), "windows")
+    windows = recurring_windows(texts)
+    known = windows.groupBy("window").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"))
+    firsts = settle(known.where("n > 1").groupBy("doc").agg(F.collect_list("window").alias("windows")), "windows")
     pieces = settle(passages(texts.join(firsts, "doc")), "pieces")
     total = pieces.agg(F.sum(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)).first()[0] or 0
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(total // SHARD_WORDS + 1)))
-    homes = pieces.select(F.explode("anchors").alias("anchor"), "shard").distinct()
-    routes = settle(places.select("anchor", "doc").distinct().join(homes, "anchor").select("doc", "shard").distinct(),
-                    "routes")
+    homes = pieces.select(F.explode("windows").alias("window"), "shard")
+    routes = settle(windows.join(homes, "window").select("doc", "shard").distinct(), "routes")
     salts = settle(routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_VISITS).alias("salts")), "salts")
     ready = (pieces.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
              .select("shard", "salt", F.lit(0).alias("kind"), "doc", F.col("begin"), F.col("phrase").alias("text")))
