@@ -57,7 +57,7 @@ ACTION_UPDATED = "status updated"
 ACTION_FLAGGED = "⚠️ flagged for review"
 
 # Six code points that mailing systems use as invisible padding.
-INVISIBLE = ["​", "‌", "‍", "͏", "﻿", "­"]
+INVISIBLE = ["\u200b", "\u200c", "\u200d", "\u034f", "\ufeff", "\u00ad"]
 
 # Tags whose content is not text, and tags that break a line.
 MUTED_TAGS = ["style", "script", "head", "title"]
@@ -82,8 +82,6 @@ ALERT_SENDERS = ["jobalert.indeed.com", "jobalerts-noreply@linkedin.com",
                  "jobs-noreply@linkedin.com"]
 
 MAIL_ADDRESS = "https://mail.google.com/mail/u/0/#all/"
-MAX_BODY_CHARS = 20000
-MAX_THREADS = 50
 KEEP_SNAPSHOT_DAYS = 30
 
 # Rows of the activity report.

@@ -2,43 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on; each of its salts takes about this many.
-HOT_ROWS = 1_000_000
-# Hot keys considered. Every other key holds at most 1/2048 of all rows.
-HOT_KEYS = 2048
-# Upper bound on the copies made of one right row.
-MAX_SALTS = 8192
+from millrace.session import settle
 
+# A key is hot from this many rows on; each of its salts takes about this many. A frame of n rows has
+# at most n / HOT_ROWS hot keys, which bounds what is sent to the tasks.
+HOT_ROWS = 1_000_000
 
-def hot_keys(left: DataFrame, on: list[str], hot_rows: int | None = None) -> dict[int, int]:
-    """Hashes of the hot keys of a frame with their number of salts.
 
-    One narrow pass that combines on the map side. At most HOT_KEYS pairs of numbers reach
-    the driver, whatever the size of the frame.
-    """
-    counts = left.groupBy(F.xxhash64(*on).alias("hot_hash")).agg(F.count("*").alias("n"))
-    return hottest(counts, hot_rows)
+def hot_keys(left: DataFrame, on: list[str], hot_rows: int | None = None) -> DataFrame:
+    """The hot keys of a frame with their number of salts, from one narrow pass that combines early."""
+    return hottest(left.groupBy(*on).agg(F.count("*").alias("n")), hot_rows)
 
 
-def hottest(counts: DataFrame, hot_rows: int | None = None) -> dict[int, int]:
-    """Same, from counts (hot_hash, n) that the caller has already."""
+def hottest(counts: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Same, from counts (keys and n) that the caller has already."""
     hot_rows = hot_rows or HOT_ROWS
-    top = counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n")).limit(HOT_KEYS).collect()
-    return {r["hot_hash"]: min(MAX_SALTS, -(-r["n"] // hot_rows)) for r in top}
-
-
-def _salts(on: list[str], hot: dict[int, int]) -> Column:
-    """Number of salts of a row's key. Decided from the hash on both sides, so a collision
-    only salts a key needlessly."""
-    pairs = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-    return F.coalesce(pairs[F.xxhash64(*on)], F.lit(1))
+    salts = F.ceil(F.col("n") / hot_rows).cast("int")
+    return settle(counts.where(F.col("n") >= hot_rows).withColumn("salts", salts).drop("n"), "hot")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: list[str],
-                hot: dict[int, int] | None = None, hot_rows: int | None = None) -> DataFrame:
+                hot: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """Join on equal keys where any left key may be hot and right keys are unique.
 
     Rows of a hot left key are spread over several salts by the columns in `spread`, and
@@ -49,9 +36,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spre
         raise ValueError(f"unsupported join kind {how}")
     if hot is None:
         hot = hot_keys(left, on, hot_rows)
-    if not hot:
+    if hot.isEmpty():
         return left.join(right, on, how)
-    salts = _salts(on, hot)
-    salted_left = left.withColumn("salt", F.pmod(F.xxhash64(*spread), salts).cast("int"))
-    salted_right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return salted_left.join(salted_right, on + ["salt"], how).drop("salt")
+    known = F.broadcast(hot)  # at most one key per HOT_ROWS rows
+    salts = F.coalesce("salts", F.lit(1))
+    salted_left = left.join(known, on, "left").withColumn(
+        "salt", F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("salts")
+    salted_right = right.join(known, on, "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    joined = salted_left.join(salted_right, on + ["salt"], how).drop("salt")
+    return joined.select(left.join(right.limit(0), on, how).columns)

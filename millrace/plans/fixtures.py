@@ -244,9 +244,9 @@ class Inputs:
                 .where("label <> 'before-upsert' OR source <> 'view'"))
 
     def reports(self) -> DataFrame:
-        """A report every noon from the third day on."""
+        """A report every noon."""
         noon = self.snap_times().where("date_format(snap_ts, 'HH') = '12'")
-        return noon.where("snap_ts >= '2024-01-03'").select(F.col("snap_ts").alias("report_ts"))
+        return noon.select(F.col("snap_ts").alias("report_ts"))
 
     @cache
     def messages(self) -> DataFrame:

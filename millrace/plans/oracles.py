@@ -209,7 +209,7 @@ CTES = {
               FROM snap_times s JOIN postings p ON p.ts < s.snap_ts GROUP BY ALL) s
         JOIN postings p USING (ord) WHERE s.label <> 'before-upsert' OR p.source <> 'view'""",
     "reports": "SELECT DISTINCT snap_ts AS report_ts FROM snap_times "
-               "WHERE strftime(snap_ts, '%H') = '12' AND snap_ts >= '2024-01-03'",
+               "WHERE strftime(snap_ts, '%H') = '12'",
     "hours": "SELECT DISTINCT date_trunc('hour', ts) + INTERVAL 30 MINUTE AS report_ts FROM events",
 }
 
@@ -309,7 +309,7 @@ def link_rows_sql() -> str:
             f"AS pos, source, job_id, url FROM ({union})")
 
 
-def unknown_sql(limit: str = "") -> str:
+def unknown_sql() -> str:
     rules = " AND ".join("NOT regexp_matches(href, " + lit(
         p.replace(r"\d", r"\p{Nd}").replace(r"\s", r"\s\p{Z}")) + ")" for _, p, _ in fv.LINK_RULES)
     href = lit(fv.HREF_PATTERN.replace(r"\s", r"\s\p{Z}"))
@@ -320,8 +320,7 @@ def unknown_sql(limit: str = "") -> str:
             count(*) AS n, min(i) AS first_i FROM (
             SELECT message_id, unnest(regexp_extract_all(text, {href}, 1)) AS href,
               generate_subscripts(regexp_extract_all(text, {href}, 1), 1) AS i FROM texts)
-          WHERE {rules} GROUP BY 1, 2)
-        QUALIFY place <= 5"""
+          WHERE {rules} GROUP BY 1, 2)"""
 
 
 def page_text_sql(html: str) -> str:
@@ -472,15 +471,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT thread_id, message_id, sender, {TAG} AS source FROM messages
             WHERE thread_id IN (SELECT thread_id FROM messages
               WHERE sent_ts > TIMESTAMP '{fx.INTAKE_AT}' - INTERVAL {fx.INTAKE_DAYS} DAY AND {_known()}
-              GROUP BY 1 ORDER BY max(sent_ts) DESC, thread_id LIMIT {fv.MAX_THREADS})
+              GROUP BY 1)
             QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY sent_ts, message_id) = 1"""),
         "ledger_anti": using("ledger", """
             SELECT thread_id, message_id, url FROM messages
             WHERE thread_id NOT IN (SELECT thread_id FROM ledger)
             QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY sent_ts, message_id) = 1"""),
         "mime_bodies": using("texts", """
-            SELECT message_id, m.subject, m.sender, '' AS cc, md5(t.plain) AS plain_md5,
-              md5(t.html) AS html_md5 FROM messages m JOIN texts t USING (message_id)"""),
+            SELECT message_id, m.subject, m.sender, '' AS cc, md5(coalesce(t.plain, '')) AS plain_md5,
+              md5(coalesce(t.html, '')) AS html_md5 FROM messages m LEFT JOIN texts t USING (message_id)"""),
         "link_harvest": using("texts", link_rows_sql()),
         "unknown_domains": using("texts", unknown_sql()),
         "source_liveness": using("messages", f"""
@@ -502,7 +501,7 @@ def oracle_sql() -> dict[str, str]:
                 '=== canonical job links (' || coalesce(n, 0) || ') ===', lines,
                 CASE WHEN n IS NULL THEN {lit(fv.NO_LINKS_WARNING)} END, u.line, '',
                 '=== email body (stripped text) ===',
-                substr({page_text_sql('t.html')}, 1, {fv.MAX_BODY_CHARS}), '') AS content
+                {page_text_sql('t.html')}, '') AS content
             FROM messages m JOIN texts t USING (message_id) LEFT JOIN links l USING (message_id)
             LEFT JOIN unknown u USING (message_id)"""),
         "html_text": f"SELECT page_id, {page_text_sql('html')} AS text FROM pages",

@@ -212,9 +212,9 @@ def mime_bodies(x: Inputs) -> DataFrame:
                                extract.header(F.col("headers"), "Subject").alias("subject"),
                                extract.header(F.col("headers"), "FROM").alias("sender"),
                                extract.header(F.col("headers"), "Cc").alias("cc"))
-    return head.join(bodies, "message_id").select(
-        "message_id", "subject", "sender", "cc", F.md5("plain").alias("plain_md5"),
-        F.md5("html").alias("html_md5"))
+    return head.join(bodies, "message_id", "left").select(
+        "message_id", "subject", "sender", "cc", F.md5(present(F.col("plain"))).alias("plain_md5"),
+        F.md5(present(F.col("html"))).alias("html_md5"))
 
 
 def _texts(x: Inputs) -> DataFrame:
@@ -227,8 +227,7 @@ def link_harvest(x: Inputs) -> DataFrame:
 
 
 def unknown_domains(x: Inputs) -> DataFrame:
-    return extract.top_domains(extract.domain_counts(_texts(x))).select(
-        "message_id", "domain", "n", F.col("place").cast("long").alias("place"))
+    return extract.domain_rows(_texts(x)).select("message_id", "domain", "n", "place")
 
 
 def source_liveness(x: Inputs) -> DataFrame:
