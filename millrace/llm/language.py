@@ -28,8 +28,8 @@ PIECE_CHARS = 800       # of each of them, in the dictionary only
 BLOCK_BYTES = 4_096     # a text is encoded in blocks of this size
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "search_log": 3, "target_length": 8,
           "hash_log": 17, "chain_log": 17, "window_log": 19}
-MIN_LEAD_BYTES = 2      # margins below either bound are narrow
-MIN_LEAD_SHARE = 0.01
+MIN_LEAD_BYTES = 1      # margins below either bound are narrow
+MIN_LEAD_SHARE = 0.002
 SHARPNESS = 40.0
 OUTPUT = ("lang_pred", "score", "accepted")
 
