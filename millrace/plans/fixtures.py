@@ -163,6 +163,15 @@ def spark_text(text: str) -> str:
     return (text.replace("@split", f"TIMESTAMP_NTZ '{SPLIT}'").replace("@days", DAYS))
 
 
+def with_heads(messages: DataFrame) -> DataFrame:
+    """Messages with their time and headers."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return (messages.withColumn("sent_ts", start + F.make_dt_interval(F.lit(0), F.col("hours")))
+            .withColumn("headers", F.expr("""array(
+                struct('X-Test' AS name, '1' AS value), struct('SUBJECT' AS name, subject AS value),
+                struct('From' AS name, sender AS value), struct('from' AS name, 'x' AS value))""")))
+
+
 class Inputs:
     """The derived inputs of one data folder, each a lazy frame."""
 
@@ -250,12 +259,7 @@ class Inputs:
 
     @cache
     def messages(self) -> DataFrame:
-        start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-        return (self._sql(MESSAGES, pages=self.spread("pages"))
-                .withColumn("sent_ts", start + F.make_dt_interval(F.lit(0), F.col("hours")))
-                .withColumn("headers", F.expr("""array(
-                    struct('X-Test' AS name, '1' AS value), struct('SUBJECT' AS name, subject AS value),
-                    struct('From' AS name, sender AS value), struct('from' AS name, 'x' AS value))""")))
+        return with_heads(self._sql(MESSAGES, pages=self.spread("pages")))
 
     def ledger(self) -> DataFrame:
         return self._sql(LEDGER, messages=self.messages())

@@ -532,6 +532,15 @@ def oracle_sql() -> dict[str, str]:
         "ledger_stream": using("ledger", """
             SELECT DISTINCT thread_id FROM messages
             WHERE thread_id NOT IN (SELECT thread_id FROM ledger)"""),
+        "ledger_entries": using("ledger", f"""
+            SELECT thread_id, strftime(TIMESTAMP '{fx.AS_OF}', '%Y-%m-%dT%H:%M:%S') AS date_fetched,
+              {TAG} AS source, CASE WHEN subject = '' THEN {lit(fv.DIGEST_NO_SUBJECT)} ELSE subject END AS subject,
+              strftime(TIMESTAMP '{fx.AS_OF}', '%Y%m%d') || '-' || {TAG} || '-' || thread_id || '.txt' AS file
+            FROM messages WHERE thread_id NOT IN (SELECT thread_id FROM ledger)
+            QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY sent_ts, message_id) = 1"""),
+        "ledger_read": using("messages", """
+            SELECT thread_id, count(*) AS n FROM messages WHERE message_id % 3 <> 0 AND message_id % 7 <> 0
+            GROUP BY 1"""),
         "text_direction": f"""
             SELECT *, CASE WHEN rtl >= latin THEN 'rtl' ELSE 'ltr' END AS direction FROM (
               SELECT id, length(regexp_replace(text, '[^\\x{{0590}}-\\x{{08FF}}]', '', 'g')) AS rtl,

@@ -13,9 +13,9 @@ from millrace.functions.text import (line_kind, long_numbers, plain_name, presen
                                      stop_words)
 from millrace.operators import admit, diff, extract, merge, rank, scan
 from millrace.plans.fixtures import (AS_OF, HOME, INTAKE_AT, INTAKE_DAYS, MESSAGES, PLACES,
-                                     Inputs)
+                                     Inputs, with_heads)
 from millrace.session import scratch_path
-from millrace.sources import intents
+from millrace.sources import intents, ledger
 from millrace.sources.snapshots import parsed_names
 from millrace.sources.versions import Versions
 from millrace.streaming import intake
@@ -291,16 +291,35 @@ def intent_explode(x: Inputs) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def ledger_stream(x: Inputs) -> DataFrame:
-    """Streams the page table itself as messages."""
+def _arriving(x: Inputs) -> DataFrame:
+    """The page table itself as a stream of messages."""
     schema = x.table("pages").schema
     pages = x.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(x.dir)
-    messages = x.spark.sql(MESSAGES, pages=pages)
+    return with_heads(x.spark.sql(MESSAGES, pages=pages))
+
+
+def ledger_stream(x: Inputs) -> DataFrame:
     out, checkpoint = [scratch_path(x.spark, n) for n in ("ledger", "offsets")]
-    intake.ledger_stream(messages, out, checkpoint, seed=x.ledger()).awaitTermination()
+    intake.ledger_stream(_arriving(x), out, checkpoint, seed=x.ledger()).awaitTermination()
     return x.spark.read.parquet(out).select("thread_id")
 
 
+def ledger_entries(x: Inputs) -> DataFrame:
+    out, checkpoint = [scratch_path(x.spark, n) for n in ("entries", "offsets")]
+    intake.entry_stream(_arriving(x), out, checkpoint, AS_OF, seed=x.ledger()).awaitTermination()
+    return ledger.read(x.spark, out)
+
+
+def ledger_read(x: Inputs) -> DataFrame:
+    """Every message as a ledger line; each third is cut, each seventh names no thread."""
+    line = F.to_json(F.struct(F.when(F.col("message_id") % 7 != 0, F.col("thread_id")).alias("thread_id"),
+                              F.col("subject")))
+    cut = F.when(F.col("message_id") % 3 == 0, F.substring(line, 1, 20)).otherwise(line)
+    path = scratch_path(x.spark, "lines")
+    x.messages().select(cut.alias("value")).write.text(path)
+    return ledger.read(x.spark, path).groupBy("thread_id").agg(F.count("*").alias("n"))
+
+
 def _applied(x: Inputs) -> Versions:
     versions = Versions(x.spark, scratch_path(x.spark, "versions")).start(x.board())
     intake.intake_stream(x.spark, x.outbox(), versions, scratch_path(x.spark, "offsets"), WORDS,
@@ -325,7 +344,7 @@ NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     snapshot_catalog, snapshot_retention, baseline_asof, activity_counts, activity_report,
     message_intake, ledger_anti, mime_bodies, link_harvest, unknown_domains, source_liveness,
     digest_render, html_text, line_kinds, text_direction,
-    intent_route, intent_explode, ledger_stream, intent_apply, cycle_digest)}
+    intent_route, intent_explode, ledger_stream, ledger_entries, ledger_read, intent_apply, cycle_digest)}
 
 
 def whole_numbers(df: DataFrame) -> DataFrame:
