@@ -52,12 +52,13 @@ def latest_before(cutoffs: DataFrame, snaps: DataFrame, cutoff: str) -> DataFram
     return cutoffs.join(found, cutoff, "left")
 
 
-def report_windows(reports: DataFrame, snaps: DataFrame, label: str = "baseline") -> DataFrame:
+def report_windows(reports: DataFrame, snaps: DataFrame, label: str | None = None) -> DataFrame:
     """Per report time the two windows with their newer and older snapshot.
 
     `yesterday` runs from the last snapshot before yesterday to the last one before today and
     is void if both are the same or one is missing. `week` runs from the last snapshot at
-    least seven days back (or the very first one) to the state at the report time.
+    least seven days back (or the very first one) to the last one up to the report time, of any
+    label or of the given one.
     """
     midnight = F.date_trunc("day", "report_ts").cast("timestamp_ntz")
     day = F.make_dt_interval(F.lit(1))
@@ -72,12 +73,14 @@ def report_windows(reports: DataFrame, snaps: DataFrame, label: str = "baseline"
         for k in ("end", "start", "week")])
     first = snaps.agg(F.min(F.struct("snap_ts", "label")).alias("first")).scalar()
     week = F.coalesce("week", first)
-    now = F.struct(F.col("report_ts").alias("snap_ts"), F.lit(label).alias("label"))
+    up_to = reports.select("report_ts", (F.col("report_ts") + F.expr("INTERVAL 0.000001 SECOND")).alias("cutoff"))
+    current = latest_before(up_to, snaps if label is None else snaps.where(F.col("label") == label), "cutoff")
+    found = found.join(current.select("report_ts", F.col("snap").alias("now")), "report_ts", "left")
     whole = F.col("end").isNotNull() & F.col("start").isNotNull() & (F.col("end") != F.col("start"))
     return found.select("report_ts", F.explode(F.array(
         F.struct(F.lit("yesterday").alias("window"), F.when(whole, F.col("end")).alias("newer"),
                  F.when(whole, F.col("start")).alias("older"), F.col("end").alias("shown")),
-        F.struct(F.lit("week").alias("window"), F.when(week.isNotNull(), now).alias("newer"),
+        F.struct(F.lit("week").alias("window"), F.when(week.isNotNull(), F.col("now")).alias("newer"),
                  week.alias("older"), week.alias("shown")))).alias("w")) \
         .select("report_ts", "w.*")
 

@@ -220,8 +220,7 @@ def windows(reports: str, snaps: str) -> str:
                 f"WHERE snap_ts < {cutoff})")
     return f"""
         SELECT report_ts, unnest(['yesterday', 'week']) AS "window",
-          unnest([CASE WHEN whole THEN s_end END, CASE WHEN s_week IS NOT NULL THEN
-            struct_pack(t := report_ts, l := 'baseline') END]) AS newer,
+          unnest([CASE WHEN whole THEN s_end END, CASE WHEN s_week IS NOT NULL THEN s_now END]) AS newer,
           unnest([CASE WHEN whole THEN s_start END, s_week]) AS older,
           unnest([s_end, s_week]) AS shown
         FROM (SELECT *, coalesce(s_end <> s_start, false) AS whole FROM (
@@ -229,6 +228,8 @@ def windows(reports: str, snaps: str) -> str:
             {before("date_trunc('day', report_ts) - INTERVAL 1 DAY")} AS s_start,
             coalesce({before("report_ts - INTERVAL 7 DAY")},
               (SELECT min(struct_pack(t := snap_ts, l := label)) FROM {snaps})) AS s_week
+            , (SELECT max(struct_pack(t := snap_ts, l := label)) FROM {snaps}
+               WHERE snap_ts <= report_ts AND label = 'baseline') AS s_now
           FROM {reports}))"""
 
 

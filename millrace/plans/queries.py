@@ -161,7 +161,7 @@ def baseline_asof(x: Inputs) -> DataFrame:
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     reports = x.table("events").select(
         (hour + F.make_dt_interval(mins=F.lit(30))).alias("report_ts")).distinct()
-    windows = diff.report_windows(reports, snaps)
+    windows = diff.report_windows(reports, snaps, "baseline")
     name = lambda c: present(F.concat_ws(" ", text_of(f"{c}.snap_ts"), f"{c}.label"))
     return windows.select(text_of("report_ts").alias("report_ts"), "window",
                           name("newer").alias("newer"), name("older").alias("older"),
@@ -169,7 +169,7 @@ def baseline_asof(x: Inputs) -> DataFrame:
 
 
 def _activity(x: Inputs) -> DataFrame:
-    windows = diff.report_windows(x.reports(), x.snap_times())
+    windows = diff.report_windows(x.reports(), x.snap_times(), "baseline")
     return diff.transition_counts(windows, x.snapshots(), WORDS)
 
 

@@ -103,3 +103,12 @@ def test_written_snapshots_come_back_and_repeat_safely(spark, tmp_path):
     rows = source.read_files(spark, str(tmp_path / "files")).collect()
     assert {(str(r["snap_ts"]), r["label"], r["company"]) for r in rows} == {
         ("2024-01-05 09:30:00", "x", "A"), ("2024-01-05 09:30:00", "x", None)}
+
+
+def test_a_report_at_any_time_takes_the_last_state(spark):
+    s = snaps(spark, ("2024-01-01T12:00", "baseline"), ("2024-01-20T12:00", "baseline"), ("2024-01-20T12:10", "z"))
+    rows = diff.report_windows(reports(spark, "2024-01-20T12:00", "2024-01-20T12:30"), s, "baseline").where(
+        "window = 'week'").collect()
+    assert [str(r["newer"]["snap_ts"]) for r in rows] == ["2024-01-20 12:00:00"] * 2
+    free = diff.report_windows(reports(spark, "2024-01-20T12:30"), s).where("window = 'week'").first()
+    assert free["newer"]["label"] == "z"
