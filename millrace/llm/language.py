@@ -35,17 +35,25 @@ OUTPUT = ("lang_pred", "score", "accepted")
 
 
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, piece: int = PIECE_CHARS) -> DataFrame:
-    """(lang, rank, piece): per language the labelled texts of lowest id hash, outside the held-out fold.
+    """(lang, rank, piece): per language the labelled texts of lowest hash, outside the held-out fold.
 
-    The rank limit is applied per task before the shuffle, so a language that owns most rows sends
-    only `texts` pieces per task.
+    Languages are counted first, and only hashes low enough to leave about four times the wanted texts
+    go to the ranking, so the rows that meet there grow with the languages, not with the corpus.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-                       & ~held_out(F.col("doc_id")))
-    short = known.select("lang", F.substring("text", 1, piece).alias("piece"),
-                         F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    known = learnable(docs).where(F.col("text").rlike(r"\p{L}"))
+    low = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40))
+    short = known.select("lang", F.substring("text", 1, piece).alias("piece"), low.alias("h"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * texts) / F.col("times"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("times"))
+    few = short.join(F.broadcast(counts), "lang").where(  # a row per language, each of which has a dictionary
+        F.col("h") <= share * (1 << 40))
     order = Window.partitionBy("lang").orderBy("h", "piece")
-    return short.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
+
+
+def learnable(docs: DataFrame) -> DataFrame:
+    """Rows with a label outside the held-out fold."""
+    return docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
 
 
 def dictionaries(docs: DataFrame, texts: int = SAMPLE_TEXTS, piece: int = PIECE_CHARS) -> dict[str, bytes]:
@@ -53,8 +61,7 @@ def dictionaries(docs: DataFrame, texts: int = SAMPLE_TEXTS, piece: int = PIECE_
     found: dict[str, list[str]] = {}
     for r in sample(docs, texts, piece).orderBy("lang", "rank").collect():
         found.setdefault(r["lang"], []).append(r["piece"].lower())
-    known = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    times = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    times = {r["lang"]: r["count"] for r in learnable(docs).groupBy("lang").count().collect()}
     order = sorted(found, key=lambda lang: (-times[lang], lang))
     return {lang: "\n".join(reversed(found[lang])).encode() for lang in order}
 
