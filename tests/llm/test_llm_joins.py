@@ -216,3 +216,41 @@ def test_license_plan_has_no_python(spark):
     frame = licenses.scan(table(spark, "documents"), licenses.templates(spark))
     plan = frame._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_kept(rows, width, num, den):
+    """The smallest id of each group of rows linked by num/den of their shingles."""
+    sets = {}
+    for d, t in rows:
+        w = WORD.findall(lower(t or ""))
+        sets[d] = {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if a != b and x and den * len(x & y) >= num * len(x | y) and root[a] > root[b]:
+                    root[a], changed = root[b], True
+    return {root[d] for d in sets}
+
+
+def test_pipeline_drops_near_copies_of_five_words_and_four_fifths(spark):
+    import corpus_pipeline as cp
+    rows = [(k * 100 + i, mutated(prose(k, 200), n, i)) for k in range(1, 4) for i, n in enumerate((0, 3, 4, 5, 9, 30))]
+    rows += [(900, "four words in all"), (901, "FOUR words in all"), (902, "four words in"), (903, "")]
+    want = brute_kept(rows, 5, 80, 100)
+    assert want != brute_kept(rows, 3, 90, 100)
+    kept = cp.drop_near_copies(spark, docs(spark, [(d, t, None, None) for d, t in rows]), SF_DIR).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(want)
+
+
+def test_every_pair_of_four_fifths_shares_a_signature():
+    rng = random.Random(6)
+    for size in [*range(1, 60), 100, 333, 1000, 2900]:
+        for _ in range(4):
+            a = {rng.getrandbits(63) for _ in range(size)}
+            b = set(list(a)[rng.randint(0, size // 5):]) | {rng.getrandbits(63) for _ in range(rng.randint(0, size // 5))}
+            x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
+            if a != b and 100 * len(a & b) >= 80 * len(a | b):
+                assert np.intersect1d(ngram_join.signatures(x, 80, 100), ngram_join.signatures(y, 80, 100)).size
