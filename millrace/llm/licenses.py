@@ -1,7 +1,7 @@
 """License scans with DataFrame functions only.
 
-Words are runs of letters and digits, lower-cased; shingles are five words (a shorter template is one
-shingle of its own length and is not searched for). Templates fall into length classes, powers of two of
+Words are runs of letters and digits, lower-cased; shingles are five words. A template of one to
+four words is one shingle of its own length; shingles of each length have windows of their own. Templates fall into length classes, powers of two of
 their number of shingles. For a class of length L a text is covered by overlapping windows of 2L shingles at
 every L, so a passage of up to L + 1 shingles lies whole in one. A window is sketched by MinHash over the
 shingles it shares with the dictionary (all templates' shingles): others cannot add to a containment.
@@ -13,18 +13,21 @@ decides.
 
 Nothing but matches is shuffled: shingles, windows, sketches and sets are arrays of the document's row.
 
-Edge cases: null and empty texts match nothing. Templates that are null or shorter than a shingle match
-nothing. Rows that repeat an id are reported together. Extra columns are ignored.
+Edge cases: null and empty texts match nothing. Templates that are null or have no
+words match nothing. What stands between words is ignored: a short notice is found wherever its words follow each
+other. Rows that repeat an id are reported together. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import settle
 
-SHINGLE = 5
+SHINGLE = 5  # words, or as many as a shorter template has
 SHARE = 0.8
 BANDS = 96
 
@@ -52,6 +55,18 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
                "not distributed with this file, You can obtain one at",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "all-rights-reserved": "All rights reserved.",
+    "mit-field": "License: MIT",
+    "apache-2.0-field": "License: Apache-2.0",
+    "bsd-3-clause-field": "License: BSD-3-Clause",
+    "gpl-3.0-field": "License: GPL-3.0",
+    "mit-spdx": "SPDX-License-Identifier: MIT",
+    "isc-spdx": "SPDX-License-Identifier: ISC",
+    "unlicense-spdx": "SPDX-License-Identifier: Unlicense",
+    "apache-2.0-spdx": "SPDX-License-Identifier: Apache-2.0",
+    "bsd-3-clause-spdx": "SPDX-License-Identifier: BSD-3-Clause",
+    "gpl-3.0-spdx": "SPDX-License-Identifier: GPL-3.0",
+    "mpl-2.0-spdx": "SPDX-License-Identifier: MPL-2.0",
 }
 WORDS = r"[\p{L}\p{N}]+"
 
@@ -60,14 +75,20 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return spark.createDataFrame(list((TEMPLATES if texts is None else texts).items()), "license_id string, text string")
 
 
-def shingles(text: Column) -> Column:
-    """Hash of the five words from each word on, as an array."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    run = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE),
-                                lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))))
-    bound = F.get(F.transform(F.array(hashed), lambda h: F.when(F.size(h) >= SHINGLE, run(h))), F.lit(0))
-    return F.coalesce(bound, F.array().cast("array<bigint>"))
+def hashed(text: Column) -> Column:
+    """Hashes of the words, as an array."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingles(h: Column, width: int) -> Column:
+    """Hash of the `width` words from each word on, as an array; null if there are fewer words."""
+    run = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))
+    return F.when(F.size(h) >= width, run)
 
 
 def sketch(values: Column, bands: int) -> Column:
@@ -77,24 +98,30 @@ def sketch(values: Column, bands: int) -> Column:
 
 
 def prepared(texts: DataFrame) -> DataFrame:
-    """license_id, class (length L) and the distinct shingles of each template."""
-    found = texts.select("license_id", F.array_distinct(shingles(F.col("text"))).alias("wanted"))
-    return found.where(F.size("wanted") > 0).withColumn(
-        "class", F.pow(F.lit(2), F.ceil(F.log2(F.size("wanted")))).cast("int"))
-
-
-def windows(docs: DataFrame, known: list[int], lengths: list[int]) -> DataFrame:
-    """(doc_id, class, first_word, held): windows with any shingle of the dictionary, and those they hold."""
-    own = docs.select("doc_id", shingles(F.col("text")).alias("s"))
-    hits = F.filter(F.transform("s", lambda v, i: F.struct(i.alias("at"), v.alias("v"))), lambda x: x["v"].isin(known))
-    rows = own.select("doc_id", hits.alias("hits")).where(F.size("hits") > 0)
-    rows = rows.select("doc_id", "hits", F.explode(F.array(*map(F.lit, lengths))).alias("class"))
+    """license_id, width (words of a shingle), class (length L) and the distinct shingles of each template."""
+    found = texts.select("license_id", hashed(F.col("text")).alias("h")).where(F.size("h") > 0)
+    own = F.coalesce(*(shingles(F.col("h"), w) for w in range(SHINGLE, 0, -1)))
+    found = found.select("license_id", F.least(F.size("h"), F.lit(SHINGLE)).alias("width"), F.array_distinct(own).alias("wanted"))
+    return found.withColumn("class", F.pow(F.lit(2), F.ceil(F.log2(F.size("wanted")))).cast("int"))
+
+
+def windows(docs: DataFrame, known: dict[int, list[int]], lengths: dict[int, list[int]]) -> DataFrame:
+    """(doc_id, width, class, first_word, held): windows with any shingle of the dictionary, and those they hold.
+    known and lengths: the shingles and the classes of each width."""
+    def hits(h: Column, width: int) -> Column:
+        spots = F.transform(shingles(h, width), lambda v, i: F.struct(i.alias("at"), v.alias("v")))
+        return F.struct(F.lit(width).alias("width"), F.array(*map(F.lit, lengths[width])).alias("classes"),
+                        F.filter(spots, lambda x: x["v"].isin(known[width])).alias("hits"))
+
+    per = F.explode(bound(hashed(F.col("text")), lambda h: F.array(*(hits(h, w) for w in sorted(known)))))
+    rows = docs.select("doc_id", per.alias("x")).select("doc_id", "x.*").where(F.size("hits") > 0)
+    rows = rows.select("doc_id", "hits", "width", F.explode("classes").alias("class"))
     block = lambda x: F.floor(x["at"] / F.col("class"))
     begins = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.array(block(x), block(x) - 1))))
-    rows = rows.select("doc_id", "hits", "class", F.explode(F.filter(begins, lambda b: b >= 0)).alias("b"))
+    rows = rows.select("doc_id", "hits", "width", "class", F.explode(F.filter(begins, lambda b: b >= 0)).alias("b"))
     inside = F.filter("hits", lambda x: (x["at"] >= F.col("b") * F.col("class"))
                       & (x["at"] < (F.col("b") + 2) * F.col("class")))
-    return rows.select("doc_id", "class", (F.col("b") * F.col("class")).alias("first_word"),
+    return rows.select("doc_id", "width", "class", (F.col("b") * F.col("class")).alias("first_word"),
                        F.array_distinct(F.transform(inside, lambda x: x["v"])).alias("held"))
 
 
@@ -102,16 +129,20 @@ def scan(docs: DataFrame, texts: DataFrame, share: float = SHARE, bands: int = B
     """(doc_id, license_id, containment, first_word, n_windows): the templates found in each document, the
     best containment and where the first window that reaches it begins, and the number of windows."""
     known = settle(prepared(texts), "templates")
-    words = [r["v"] for r in known.select(F.explode("wanted").alias("v")).distinct().collect()]  # of the dictionary
-    lengths = sorted(r["class"] for r in known.select("class").distinct().collect())
+    words: dict[int, list[int]] = {}  # of the dictionary
+    lengths: dict[int, list[int]] = {}
+    for r in known.select("width", F.explode("wanted").alias("v")).distinct().collect():
+        words.setdefault(r["width"], []).append(r["v"])
+    for r in known.select("width", "class").distinct().sort("width", "class").collect():
+        lengths.setdefault(r["width"], []).append(r["class"])
     if not words:
         return docs.sparkSession.createDataFrame(
             [], "doc_id long, license_id string, containment double, first_word long, n_windows long")
     seen = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, lengths)
     banded = seen.select("*", F.posexplode(sketch(F.col("held"), bands)).alias("band", "low"))
-    keys = known.select("license_id", "wanted", "class",
+    keys = known.select("license_id", "wanted", "width", "class",
                         F.posexplode(sketch(F.col("wanted"), bands)).alias("band", "low"))
-    pairs = banded.join(keys, ["class", "band", "low"])
+    pairs = banded.join(keys, ["width", "class", "band", "low"])
     contained = (F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("containment")
     checked = pairs.select("doc_id", "license_id", "first_word", contained).where(F.col("containment") >= share)
     per = checked.groupBy("doc_id", "license_id", "first_word").agg(F.max("containment").alias("containment"))

@@ -254,3 +254,25 @@ def test_every_pair_of_four_fifths_shares_a_signature():
             x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
             if a != b and 100 * len(a & b) >= 80 * len(a | b):
                 assert np.intersect1d(ngram_join.signatures(x, 80, 100), ngram_join.signatures(y, 80, 100)).size
+
+
+def test_short_notices_are_found(spark):
+    import re
+    texts = {"one": "Proprietary", "two": "License: MIT", "three": "All rights reserved.", "four": "SPDX-License-Identifier: MIT",
+             "five": "Licensed under CC BY-NC 4.0.", "none": "?!"}
+    bodies = ["All rights reserved.", prose(1) + "\n© 2024 X. ALL RIGHTS\nRESERVED", "rights reserved, all", "# License: MIT",
+              "// SPDX-License-Identifier: MIT\n" + prose(2) + " license: mit", "proprietary " * 3, "a b all rights", "MIT License",
+              prose(3) + " All rights reserved. All rights reserved. Proprietary", "", None, "License", "All rights are reserved"]
+    want = {}
+    for d, body in enumerate(bodies):
+        w = re.findall(r"[^\W_]+", (body or "").lower())
+        for k, v in texts.items():
+            t = re.findall(r"[^\W_]+", v.lower())
+            spots = [i for i in range(len(w) - len(t) + 1) if len(t) < 5 and t and w[i:i + len(t)] == t]
+            begins = {b for i in spots for b in (i - 1, i) if b >= 0}  # windows of two shingles at every one
+            if begins:
+                want[d, k] = (1.0, min(begins), len(begins))
+    found = licenses.scan(docs(spark, [(i, b, None, None) for i, b in enumerate(bodies)]), licenses.templates(spark, texts))
+    assert {(r[0], r[1]): tuple(r)[2:] for r in found.collect()} == want and len(want) == 8
+    given = licenses.scan(docs(spark, [(1, "© X. All rights reserved.", None, None)]), licenses.templates(spark)).collect()
+    assert [r["license_id"] for r in given] == ["all-rights-reserved"]
