@@ -11,7 +11,8 @@ which show the parts a corpus may happen not to have. Counting is a Spark aggreg
 bounded by the number of hashed features.
 
 Edge cases: null or empty html, and html without text, give the empty text. Markup may end anywhere.
-Comments, scripts, styles and the head never hold text. Character references are decoded as browsers do.
+Comments, scripts, styles and the head never hold text. A head ends where anything begins that may not stand
+in one. A silent element without an end tag ends where the next block begins, or with the block around it. Character references are decoded as browsers do.
 White space (HTML's, as well as no-break and other Unicode spaces) inside a block is one space; blocks
 are joined by one space. Rows are treated one by one; extra columns are ignored.
 """
@@ -39,15 +40,19 @@ TEMPER = 0.5  # of the pair counts: parts inside parts are rarer in any corpus t
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = set("head title script style noscript template svg math iframe object select option textarea "
+SILENT = set("head title script style noscript template svg iframe object select option textarea "
              "button audio video canvas datalist".split())
+IN_HEAD = set("html head title base basefont bgsound link meta noscript noframes script style template".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption "
              "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section "
              "summary table tbody td tfoot th thead tr ul br".split())
 CLOSES_P = BLOCKS - {"html", "body", "br", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
-PLAIN = set("p h1 h2 h3 h4 h5 h6 b i em strong u s small sub sup code q cite span a li ul ol dl dt dd tr td th tbody "
+MATH = set("math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded "
+           "mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd "
+           "maction".split())
+PLAIN = MATH | set("p h1 h2 h3 h4 h5 h6 b i em strong u s small sub sup code q cite span a li ul ol dl dt dd tr td th tbody "
             "blockquote pre figure figcaption label".split())  # as common outside the article as in it
 WRAPPERS = set("div section center".split())  # only their names tell
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
@@ -105,11 +110,11 @@ class Tree(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("#", {}, -1)]
-        self.stream: list[tuple[int, str | None]] = []  # (node, text), or None where a block begins or ends
-        self.open = [0]
-        self.feed(html)
-        self.close()
+        self.loose: set[int] = set()  # silent elements that have no end tag of their own
+        self._read(html)
+        while not self.missed <= self.loose:
+            self.loose |= self.missed
+            self._read(html)
         for n in range(len(self.nodes) - 1, 0, -1):
             node, up = self.nodes[n], self.nodes[self.nodes[n].up]
             if node.tag == "a":
@@ -117,11 +122,41 @@ class Tree(HTMLParser):
             up.chars += node.chars
             up.linked += node.linked
 
-    def _end(self, depth: int) -> None:
+    def _read(self, html: str) -> None:
+        self.nodes = [Node("#", {}, -1)]
+        self.stream: list[tuple[int, str | None]] = []  # (node, text), or None where a block begins or ends
+        self.open = [0]
+        self.missed: set[int] = set()
+        self.inner: set[int] = set()  # those missed inside a silent element that is still open
+        self.reset()
+        self.feed(html)
+        self.close()
+        self._miss(1, False)
+
+    def _silent(self) -> list[int]:
+        """Depths of the open silent elements below a head."""
+        return [d for d, n in enumerate(self.open) if self.nodes[n].tag in SILENT and self.nodes[n].tag != "head"]
+
+    def _miss(self, depth: int, own: bool) -> None:
+        """Note the silent elements that end at depth without their own end tag. own: the first of all has one."""
+        silent = self._silent()
+        self.inner.update(self.open[d] for d in silent if d > depth or d == depth and not own)
+        if silent and silent[0] >= depth:
+            if silent[0] > depth or not own:
+                self.missed |= self.inner
+            self.inner = set()
+
+    def _end(self, depth: int, own: bool = False) -> None:
+        self._miss(depth, own)
         if any(self.nodes[n].tag in BLOCKS for n in self.open[depth:]):
             self.stream.append((self.open[depth], None))
         del self.open[depth:]
 
+    def _end_head(self) -> None:
+        for depth, n in enumerate(self.open):
+            if self.nodes[n].tag == "head":
+                return self._end(depth)
+
     def _close(self, tags: set[str], stop: set[str]) -> None:
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[depth]].tag
@@ -131,9 +166,15 @@ class Tree(HTMLParser):
                 return None
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
+        silent = self._silent()
+        if tag in BLOCKS and silent and all(self.open[d] in self.loose for d in silent):
+            self._end(silent[0])
+            silent = []
+        if tag not in IN_HEAD and not silent:
+            self._end_head()
+        if tag in CLOSES_P and not silent:
             self._close({"p"}, {"table", "td", "th", "div", "li", "article", "section", "aside", "main", "blockquote"})
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and (tag == "option" or not silent):
             self._close(CLOSED_BY[tag], SCOPES[tag])
         up = self.open[-1]
         if tag in BLOCKS:
@@ -146,13 +187,17 @@ class Tree(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and any(self.nodes[n].tag in ("svg", "math") for n in self.open):
+            self._end(len(self.open) - 1, own=True)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, 0, -1):
             if self.nodes[self.open[depth]].tag == tag:
-                return self._end(depth)
+                return self._end(depth, own=True)
 
     def handle_data(self, data):
+        if self.nodes[self.open[-1]].tag == "head" and data.strip():
+            self._end_head()
         if any(self.nodes[n].tag in SILENT for n in self.open):
             return
         self.stream.append((self.open[-1], data))

@@ -305,3 +305,24 @@ def test_stages_take_awkward_and_empty_tables(spark):
             out = stage(spark, frame, SF_DIR)
             assert i == 4 or out.columns == frame.columns
             assert out.count() <= 2 * frame.count()
+
+
+OPEN_PAGES = [
+    ("<html><head><title>x</title><body><article><h1>T</h1><p>Words of it.</p></article></body></html>", "T Words of it."),
+    ("<html><head><meta charset=utf-8><title>x</title><article><p>No body tag.</p></article>", "No body tag."),
+    ("<head><title>x<body><article><p>Open title.</p></article>", "Open title."),
+    ("<head><noscript><img src=a><p>Turn it on</p></noscript><title>x</title><body><article><p>Text.</p></article>", "Text."),
+    ("<head><noscript><link href=a><body><article><p>Open noscript.</p></article>", "Open noscript."),
+    ("<article><p>One.</p><button>OK<p>Two.</p><p>Three.</p></article>", "One. Two. Three."),
+    ("<article><p>One.</p><select><option>a<option>b<p>Two.</p></article>", "One. Two."),
+    ("<article><p>One.<video src=a>No video<p>Two.</p><object data=b><p>Three.</p></article>", "One. Two. Three."),
+    ("<article><p>One.</p><button><select><option>x<p>Two.</p><button>y<p>Three.</p></article>", "One. Two. Three."),
+    ("<article><p>One.</p><button><div>OK</div></button><select><option>a<option>b</select><video><p>No</p></video>"
+     "<p>Two.</p></article>", "One. Two."),
+    ("<article><p>Of<svg/> <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> it is said.</p></article>", "Of x=2 it is said."),
+]
+
+
+@pytest.mark.parametrize("page, want", OPEN_PAGES)
+def test_pages_without_end_tags(spark, page, want):
+    assert html_main.main_text(html_main.fit(table(spark, "pages")), page) == want
