@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import licenses, mixing
+from millrace.llm import licenses, mixing, url_rules
 
 BLANK = "[^\\x20\\x09-\\x0D]+"
 
@@ -55,4 +55,5 @@ FROM pos
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op4_ngram_join": NGRAM_JOIN, "op5_source_mix": SOURCE_MIX}
+    return {"op1_license_scan": licenses.oracle(), "op4_ngram_join": NGRAM_JOIN, "op5_source_mix": SOURCE_MIX,
+            "op12_url_filter": url_rules.oracle()}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import (decontaminate, html_main, language, licenses, mixing, ngram_join, oracles, phrases,
-                          quality, token_files, topk)
+from millrace.llm import (align, decontaminate, html_main, language, licenses, mixing, ngram_join, oracles, phrases,
+                          quality, token_files, topk, url_rules, whitening)
 from millrace.llm.common import held_out, table
 from millrace.session import prepare
 
@@ -63,6 +63,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(prepare(spark), sf_dir, "documents"), tokenizer_file(),
+                       tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(prepare(spark), sf_dir, "pages"),
+                           url_rules.rules(spark, url_rules.SITE_RULES, url_rules.PATTERNS))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(prepare(spark), sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -71,7 +85,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by its name."""
     own = [op1_license_scan, op2_html_main_text, op3_quality_rules, op4_ngram_join, op5_source_mix,
-           op6_repeated_phrases, op7_exact_top_k, op8_token_files, op9_benchmark_leaks, op10_language_id, pipeline]
+           op6_repeated_phrases, op7_exact_top_k, op8_token_files, op9_benchmark_leaks, op10_language_id,
+           op11_token_alignment, op12_url_filter, op13_embedding_whitening, pipeline]
     return {f.__name__: f for f in own}
 
 

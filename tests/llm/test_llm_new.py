@@ -1,0 +1,287 @@
+"""Tokenizer alignment, URL rules and whitening against plain rules, exact properties and awkward rows."""
+
+import hashlib
+import re
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from helpers import SF_DIR, awkward, docs, empty, plain, prose, table
+from millrace.llm import align, queries, url_rules, whitening
+
+A, B = queries.tokenizer_file(), queries.tokenizer_file("piece_bpe_32k.model")
+
+
+# --- tokenizer alignment
+
+
+@pytest.fixture(scope="module")
+def models():
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(A)
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=B)
+
+
+def ends(pieces):
+    return np.cumsum([len(p) for p in pieces]).tolist()
+
+
+def token_ends(models, text):
+    """Ids and end offsets of both tokenizers, from the decoded bytes of the whole text alone."""
+    a, b = models
+    letters = align.byte_letters()
+    a_ids = a.encode(" " + text, add_special_tokens=False).ids
+    a_bytes = [bytes(letters[c] for c in a.id_to_token(i)) for i in a_ids]
+    b_ids = b.encode(text)
+    b_bytes = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+               for i in b_ids for p in [b.id_to_piece(i)]]
+    same = b"".join(a_bytes) == b"".join(b_bytes) == (" " + text).encode()
+    return (a_ids, ends(a_bytes), b_ids, ends(b_bytes)) if same else None
+
+
+def by_hand(models, texts):
+    """n_a, n_b, n_groups, n_links, n_best, count_sum and checksum of each text."""
+    groups = []
+    for text in texts:
+        told, own = token_ends(models, text) if text else None, []
+        if told:
+            a, ae, b, be = told
+            cuts = sorted(set(ae) & set(be))
+            own = [([], []) for _ in cuts]
+            for side, ids, last in ((0, a, ae), (1, b, be)):
+                for i, e in zip(ids, last):
+                    own[bisect_left(cuts, e)][side].append(i)
+        groups.append((own, told))
+    held, high = Counter(), defaultdict(int)
+    for own, _ in groups:
+        held.update({(x, y) for left, right in own for x in left for y in right})
+    for (x, _), n in held.items():
+        high[x] = max(high[x], n)
+    for own, told in groups:
+        if not told:
+            yield 0, 0, 0, 0, 0, 0, ""
+            continue
+        links = [(x, y) for left, right in own for x in left for y in right]
+        line = ";".join(f"{','.join(map(str, left))}|{','.join(map(str, right))}" for left, right in own)
+        yield (len(told[0]), len(told[2]), len(own), len(links), sum(held[p] == high[p[0]] for p in links),
+               sum(held[p] for p in links), hashlib.sha256(line.encode()).hexdigest())
+
+
+ODD = ["a  b", " lead", "trail ", "  two", "x \n y", "\n\nfoo\tbar", "naïve café 漢字 \U0001f600\U0001f468‍\U0001f469",
+       "<|endoftext|> <s> </s> <unk> <0x0A>", "nul\x00byte", "▁piece", "mixed ▁ piece", "nbsp  x 　 y",
+       "don't 's 's", "x" * 3000, "漢" * 500, " ", "   ", "\r\n", "é ﬁ ｆ", "a b \x85 c", "1 234  567"]
+
+
+@pytest.mark.parametrize("most_hot", [align.HOT_PAIRS, 40, 0])
+def test_alignment_equals_plain_rules(spark, models, most_hot):
+    rows = [(i, t, "en", "a") for i, t in enumerate(ODD)] + [(100 + i, prose(i), "en", "a") for i in range(30)]
+    rows += [(500, prose(3), "en", "a"), (500, prose(3), "en", "a"), (None, prose(4), None, None)]
+    got = plain(align.align(docs(spark, rows), A, B, most_hot))
+    want = [(r[0], *w) for r, w in zip(rows, by_hand(models, [r[1] for r in rows]))]
+    assert got == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_alignment_query_over_the_whole_table(spark, models):
+    given = [(r["doc_id"], r["text"]) for r in table(spark, "documents").select("doc_id", "text").collect()]
+    want = {i: w for (i, _), w in zip(given, by_hand(models, [t for _, t in given]))}
+    got = queries.op11_token_alignment(spark, SF_DIR).collect()
+    assert len(got) == len(given) and all(tuple(r)[1:] == want[r["doc_id"]] for r in got)
+
+
+def test_alignment_of_awkward_rows_and_of_none(spark, models):
+    rows = awkward(spark)
+    given = rows.select("doc_id", "text").collect()
+    want = [(r[0], *w) for r, w in zip(given, by_hand(models, [r[1] for r in given]))]
+    assert plain(align.align(rows, A, B)) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+    assert align.align(empty(spark), A, B).collect() == []
+
+
+def test_memory_that_is_given_back_changes_nothing(spark, models, monkeypatch):
+    monkeypatch.setattr(align, "SEGMENT_BYTES", 10)
+    own = align.Aligner(A, B)
+    texts = [prose(i, 40) for i in range(20)]
+    for text in texts * 2:
+        (places,) = own.places([text])
+        assert len(own.segments) <= 45
+        assert [own.stats[places].sum(axis=0)[k] for k in range(2)] == [len(token_ends(models, text)[k]) for k in (0, 2)]
+
+
+def test_refined_spans_take_the_tokens_bytes():
+    # three tokens share one character of three bytes; then a plain token, then bytes with empty spans
+    assert align.refined([(0, 3), (0, 3), (0, 3), (3, 7)], [1, 1, 1, 4]) == [1, 2, 3, 7]
+    assert align.refined([(0, 2), (2, 2), (2, 2), (2, 5), (5, 8)], [2, 1, 1, 1, 3]) == [2, 3, 4, 5, 8]
+
+
+# --- URL rules
+
+
+URLS = ["https://EXAMPLE.net/en/1", "https://a.b.example.net/en/", "https://example.net/EN/", "http://x.net/a?b=/en/",
+        "http://xnet/a", "http://net/", "http://net", "http://a.net", "http://badexample.com/de/", "http://example.com/de/x#y",
+        "http://my.example.com/de", "ftp://w.org/fr/", "http://org/fr/q", "http://org.x/fr/", "no scheme", "", None,
+        "http:///en/", "http://u@example.net:80/en/", "http://q.net://z/en/", "http://a.com/login", "http://a.com/login?x",
+        "http://a.com/loginx", "http://a.com/x.exe", "http://a.com/x.exe?y", "http://a.com/tag/q/r/feed/",
+        "http://ads.q.com/", "http://a.com/help/login", "http://a.com/p\n/login", "http://spam-farm.example.org/en/1"]
+PAGE_SCHEMA = "page_id long, url string, html string, host string, rule string, token string, site string, n long"
+
+
+def fits(rule, host, path):
+    own, slash, start = rule.partition("/")
+    return (host == own or host.endswith("." + own)) and path.startswith(slash + start)
+
+
+def plain_verdict(url, sites, patterns):
+    """Every rule on the URL, by string tests and one expression per pattern."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = "".join(c.lower() if c.isascii() else c for c in host)
+    hit = [(len(r), v, r) for r, v in sites if fits(r, host, path)] if host + path else []
+    found = [(v, len(r), r) for r, v in patterns
+             if host + path and re.search(url_rules.pattern_rule(r)[0].replace(r"\z", r"\Z"), host + path)]
+    if hit:
+        return host, path, max(hit)[2], max(hit)[1], None
+    return host, path, None, *((max(found)[0], max(found)[2]) if found else (url_rules.ALLOW, None))
+
+
+def pages(spark, urls):
+    return spark.createDataFrame([(i, u, "", "h", "r", "t", "s", 1) for i, u in enumerate(urls)], PAGE_SCHEMA)
+
+
+def test_url_rules_equal_every_rule_on_every_url(spark):
+    known = url_rules.rules(spark, url_rules.SITE_RULES, url_rules.PATTERNS)
+    got = plain(url_rules.judge(pages(spark, URLS * 2), known))
+    want = [(i, *plain_verdict(u, url_rules.SITE_RULES, url_rules.PATTERNS)) for i, u in enumerate(URLS * 2)]
+    assert got == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_many_rules_run_few_expressions(spark):
+    """A thousand site and pattern rules: same verdicts as all rules on all sites, on a fraction of the pairs."""
+    sites = [(f"host{i}.example.{'net' if i % 2 else 'com'}/en/", url_rules.BLOCK) for i in range(500)]
+    patterns = [(f"/part{i}/", url_rules.BLOCK) for i in range(450)] + [(f"*pre{i}*", url_rules.ALLOW) for i in range(5)]
+    urls = [f"http://host{i}.example.{'net' if i % 3 else 'com'}/en/part{i * 7}/xpre{i % 9}y" for i in range(300)]
+    known = url_rules.rules(spark, sites, patterns)
+    got = plain(url_rules.judge(pages(spark, urls), known))
+    want = [(i, *plain_verdict(u, sites, patterns)) for i, u in enumerate(urls)]
+    assert got == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+    frame = spark.createDataFrame([(u, "".join(plain_verdict(u, [], [])[:2])) for u in urls], "url string, site string")
+    tokens = frame.withColumn("tokens", url_rules.tokens(frame["site"]))
+    filed = url_rules.filed(known, tokens)
+    tried = filed.join(tokens.select("url", url_rules.F.explode("tokens").alias("token")), "token").count()
+    assert tried < len(urls) * (len(sites) + len(patterns)) / 50
+
+
+def test_url_rules_on_no_pages_and_hot_urls(spark):
+    known = url_rules.rules(spark, url_rules.SITE_RULES, url_rules.PATTERNS)
+    assert url_rules.judge(pages(spark, []), known).collect() == []
+    assert url_rules.judge(pages(spark, [None, None]), known).where("verdict = 'allow' AND host = ''").count() == 2
+    hot = pages(spark, ["http://x.net/a"] * 500)
+    assert url_rules.judge(hot, known).where("verdict = 'block' AND rule = 'net/'").count() == 500
+    assert url_rules.judge(pages(spark, URLS), known.limit(0)).where("verdict = 'allow'").count() == len(URLS)
+
+
+# --- whitening
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows],
+                                 "vec_id long, embedding array<float>, label int, x string, n long")
+
+
+def exact(values):
+    """n, integer vectors, their sums and exact covariance."""
+    x = [[int(np.floor(1024 * np.float64(np.float32(c)))) + 100_000 for c in v] for v in values]
+    n, d = len(x), len(x[0])
+    sums = [sum(r[j] for r in x) for j in range(d)]
+    cov = [[float(Fraction(sum((n * r[i] - sums[i]) * (n * r[j] - sums[j]) for r in x), n ** 3)) for j in range(d)]
+           for i in range(d)]
+    return n, np.array(x), sums, np.array(cov)
+
+
+def check_whitened(got, ids, values):
+    n, x, sums, cov = exact(values)
+    e, v = np.linalg.eigh(cov)
+    e, v = e[::-1], v[:, ::-1]
+    k = min(8, int((e > np.trace(cov) * len(e) * 2.3e-16).sum()))
+    assert len(got) == k * len(ids)
+    deviation = [sum((n * int(a) - s) ** 2 for a, s in zip(r, sums)) for r in x]
+    by_row = {}
+    for r in got:
+        by_row.setdefault((r["vec_id"], r["deviation"]), {})[r["component"]] = r
+    for i, row in zip(ids, range(len(ids))):
+        told = by_row[i, deviation[row]]
+        assert sorted(told) == list(range(1, k + 1)) and {r["n"] for r in told.values()} == {n}
+    white = np.array([[by_row[i, deviation[r]][c]["whitened"] for c in range(1, k + 1)] for r, i in enumerate(ids)])
+    assert np.abs(white.T @ white / n - np.eye(k)).max() < 1e-9
+    centred = x - np.array([s / n for s in sums])
+    for c in range(k):
+        assert abs(got[0]["identity_error"]) < 1e-9
+        one = by_row[ids[0], deviation[0]][c + 1]
+        assert abs(one["explained"] / (e[c] / np.trace(cov)) - 1) < 1e-10
+        gap = min([abs(e[c] - e[j]) for j in range(len(e)) if j != c], default=1)
+        if gap > 1e-3 * e[0]:
+            want = centred @ v[:, c] / np.sqrt(e[c])
+            assert min(np.abs(white[:, c] - want).max(), np.abs(white[:, c] + want).max()) < 1e-8
+
+
+def test_whitening_against_exact_covariance(spark):
+    rng = np.random.default_rng(3)
+    values = (rng.normal(size=(200, 12)) * np.linspace(3, 0.2, 12) + 5).astype(np.float32).tolist()
+    rows = list(enumerate(values))
+    extra = [(900, None), (901, [1.0] * 11 + [None]), (902, [float("nan")] + [1.0] * 11), (903, [float("inf")] + [0.0] * 11),
+             (904, []), (905, [1.0, 2.0]), (906, [3e38] * 12)]
+    check_whitened(whitening.whiten(vectors(spark, rows + extra)).collect(), list(range(200)), values)
+
+
+def test_whitening_of_the_given_table(spark):
+    given = table(spark, "embeddings").orderBy("vec_id").collect()
+    real = [r for r in given if r["embedding"] and all(c is not None and np.isfinite(c) for c in r["embedding"])]
+    got = queries.op13_embedding_whitening(spark, SF_DIR).collect()
+    check_whitened(got, [r["vec_id"] for r in real], [r["embedding"] for r in real])
+
+
+def test_whitening_of_few_equal_and_dependent_vectors(spark):
+    assert whitening.whiten(vectors(spark, [])).collect() == []
+    assert whitening.whiten(vectors(spark, [(1, None), (2, [])])).collect() == []
+    assert whitening.whiten(vectors(spark, [(1, [1.0, 2.0])])).collect() == []
+    assert whitening.whiten(vectors(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect() == []
+    line = [(i, [float(i), 2.0 * i, 1.0]) for i in range(9)] + [(None, [3.0, 6.0, 1.0])]
+    got = whitening.whiten(vectors(spark, line)).collect()
+    assert len(got) == 10 and {r["component"] for r in got} == {1} and abs(got[0]["explained"] - 1) < 1e-12
+
+
+def test_sums_stay_exact_beyond_floats():
+    rng = np.random.default_rng(1)
+    z = rng.integers(-(1 << 50), 1 << 50, size=(50, 3))
+    want = [[sum(int(r[i]) * int(r[j]) for r in z) for j in range(3)] for i in range(3)]
+    assert (whitening._products(z) == np.array(want, dtype=object)).all()
+    n, sums = 3, np.array([7, 8], dtype=object)
+    assert whitening._deviations(np.array([[2, 2]]), n, sums) == [(3 * 2 - 7) ** 2 + (3 * 2 - 8) ** 2]
+    assert whitening._deviations(np.array([[1 << 50, 0]]), 1 << 20, sums) == [None]
+
+
+@pytest.mark.parametrize("values", [[5, 5, 5, 2, 1, 0.5], [1, 1 - 1e-7, 1 - 2e-7, 0.5, 0.5, 1e-9], [3, 2, 1, 0, 0, 0],
+                                    [1, 1, 1, 1, 1, 1], [1e12, 1e12 - 1, 4, 3, 2, 1], [0, 0, 0, 0, 0, 0]])
+def test_refinement_reaches_double_precision(values):
+    q = np.linalg.qr(np.random.default_rng(5).normal(size=(6, 6)))[0]
+    a = q @ np.diag(np.array(values, dtype=float)) @ q.T
+    e, x = whitening.eigenvectors(a)
+    size = max(abs(v) for v in values) or 1
+    assert np.abs(np.sort(e)[::-1] - np.sort(values)[::-1]).max() <= 1e-13 * size
+    assert np.abs(x.T @ x - np.eye(6)).max() < 1e-13
+    assert np.abs(a @ x - x * e).max() <= 1e-13 * size
+
+
+def test_refinement_squares_the_error():
+    rng = np.random.default_rng(8)
+    q = np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    a = q @ np.diag(np.linspace(1, 40, 40)) @ q.T
+    x = np.linalg.eigh(a.astype(np.float32))[1].astype(float)
+    before = np.abs(a @ x - x * np.diag(x.T @ a @ x)).max()
+    x = whitening.refine(a, x)[0]
+    x = whitening.refine(a, x)[0]
+    assert before > 1e-7 and np.abs(a @ x - x * np.diag(x.T @ a @ x)).max() < 1e-11
