@@ -118,17 +118,22 @@ def clusters(values: np.ndarray, gap: float) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(values[order]) > gap) + 1) if len(order) else []
 
 
+def gap_of(error: float, values: np.ndarray) -> float:
+    """How far apart eigenvalues must be for a step to tell them apart without spoiling digits that are right."""
+    return max(error, np.finfo(float).eps ** 0.5 * np.abs(values).max())
+
+
 def refine(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """One Ogita-Aishima step for approximate eigenvectors x of a: (better x, eigenvalues, gap below which two of them
-    cannot be told apart by it)."""
-    r = np.eye(len(a)) - x.T @ x
-    s = x.T @ a @ x
+    """One Ogita-Aishima step for approximate eigenvectors x of a: (better x, eigenvalues, bound of the error x had).
+    Eigenvalues closer than `gap_of` the error are told apart by the caller."""
+    r, s = np.eye(len(a)) - x.T @ x, x.T @ a @ x
+    r, s = (r + r.T) / 2, (s + s.T) / 2  # so that the step keeps x orthogonal where eigenvalues are close
     values = np.diag(s) / (1 - np.diag(r))
-    gap = 2 * (np.linalg.norm(s - np.diag(values), 2) + np.abs(values).max() * np.linalg.norm(r, 2))
+    error = 2 * (np.linalg.norm(s - np.diag(values), 2) + np.abs(values).max() * np.linalg.norm(r, 2))
     apart = values[None, :] - values[:, None]
-    far = np.abs(apart) > gap
+    far = np.abs(apart) > gap_of(error, values)
     step = np.where(far, (s + values[None, :] * r) / np.where(far, apart, 1), r / 2)
-    return x + x @ step, values, gap
+    return x + x @ step, values, error
 
 
 def eigenvectors(a: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray]:
@@ -139,13 +144,13 @@ def eigenvectors(a: np.ndarray, steps: int = 12) -> tuple[np.ndarray, np.ndarray
     a = (a + a.T) / (2 * size)
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(np.float64)
     for _ in range(steps):
-        x, values, gap = refine(a, x)
-        for own in clusters(values, gap):
+        x, values, error = refine(a, x)
+        for own in clusters(values, gap_of(error, values)):
             if len(own) > 1:  # turn the vectors of the cluster to the eigenvectors of what they span
                 basis = np.linalg.qr(x[:, own])[0]
                 shift = values[own].mean()
                 x[:, own] = basis @ np.linalg.eigh(basis.T @ (a @ basis - shift * basis))[1]
-        if gap < 64 * len(a) * np.finfo(float).eps:
+        if error < 64 * len(a) * np.finfo(float).eps:
             break
     x /= np.linalg.norm(x, axis=0)
     values = np.einsum("ij,ij->j", x, a @ x)
