@@ -1,13 +1,13 @@
 """What the operators of this subpackage share: words, their hashes, folds, link components.
 
-A word is a longest run of bytes other than space and 0x09 to 0x0D. Hashes have 64 bits; words are
-hashed whole Arrow chunks at a time with numpy, so a task holds a chunk of about a megabyte of text
-(or one document, if that is longer) and never a whole partition.
+A word is a longest run of bytes other than space and 0x09 to 0x0D. Words are taken from Arrow chunks, so a
+task holds a chunk of about a megabyte of text (or one document, if that is longer) and never a whole partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from pathlib import Path
 from typing import NamedTuple
 
@@ -22,13 +22,10 @@ from millrace.session import settle
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
+MEMORY_WORDS = 400_000
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A"):ord("Z") + 1] += 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,29 +49,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_LETTER = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
-_powers = {"up": np.ones(1, dtype=_U), "down": np.ones(1, dtype=_U)}
+class WordHashes(dict):
+    """64-bit hashes of words, as found so far by this worker: keyed by the word's bytes, so that no two words share an
+    entry. blake2b has no structure that repetitive words could share. Long words are hashed each time."""
 
+    def __missing__(self, word: bytes) -> int:
+        told = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = told
+        return told
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n-1 of the base and of its inverse modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=_U)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=_U)
-    return _powers["up"][:n], _powers["down"][:n]
 
-
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each byte range start:end of data."""
-    if not len(start):
-        return np.empty(0, dtype=_U)
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_LETTER[_LOWER[data] if lower else data] * up, out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+_hashes = WordHashes()
 
 
 class Words(NamedTuple):
@@ -84,9 +72,7 @@ class Words(NamedTuple):
     hi: int
     hashes: np.ndarray
     first: np.ndarray
-    data: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
+    found: list[bytes]
 
 
 def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -110,17 +96,15 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 def words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
     """The words of each row with their hashes, chunk by chunk. lower: A-Z count as a-z."""
     for lo, hi, data, rows in text_chunks(texts):
-        inside = ~_BLANK[data]
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        full = rows[1:] > rows[:-1]
-        begins[rows[:-1][full]] = inside[rows[:-1][full]]
-        ends[rows[1:][full] - 1] = inside[rows[1:][full] - 1]
-        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        first = np.searchsorted(start, rows)
-        hashes = span_hashes(data, start, end, lower)
-        yield Words(lo, hi, hashes, first, data, start, end)
+        body, found, first = data.tobytes(), [], [0]
+        if lower:
+            body = body.lower()  # of bytes, this lowers A-Z only
+        at = rows.tolist()
+        for a, b in zip(at[:-1], at[1:]):
+            found += body[a:b].split()  # bytes split at 0x20 and 0x09 to 0x0D
+            first.append(len(found))
+        hashes = np.fromiter(map(_hashes.__getitem__, found), _U, len(found))
+        yield Words(lo, hi, hashes, np.array(first), found)
 
 
 _FACTORS = [int(x) | 1 for x in mix(np.arange(1000, 1064, dtype=_U) * _U(_BASE))]

@@ -1,16 +1,20 @@
 """Exact Jaccard join of documents on word shingles by PartEnum signatures.
 
-Sets are banded by size. Two sets of a band with Jaccard similarity of at least t differ in at most
-k elements, k = (1 - t) / (1 + t) * 2 * (largest size of the band). The element domain is hashed
-into n1 = k // 2 + 1 groups of three partitions. One group must hold at most one difference, so two of
-its three partitions agree whole: each pair of partitions of each group is one signature. A set close
-to the next band also signs there. No similar pair can miss.
-
-From signatures to classes no task ever sees a whole hot bucket: the smallest and largest set of each
-signature combine before the shuffle, members are tied to the smallest one (a join that Spark can
-split), ties give clusters of candidates, and clusters are verified in pairs of blocks of bounded size,
-spread evenly. Copies are folded to one set first, which counts them. A pair of blocks returns one row
-per set, not per pair: a root inside the pair and its number of links.
+Copies are folded to one set first, which counts them. Of two sets with a Jaccard similarity of at least t, each shares all but
+a share 1 - t of its own shingles with the other. So a set that has more shingles than that to itself, counted over the
+shingles of a hashed part of the domain, is similar to none and goes no further. That is an exact bound, not a sample of sets.
+
+The others are banded by size. Two sets of a band differ in at most k elements, k = (1 - t) / (1 + t) * 2 * (largest size
+of the band). The domain is hashed into n1 > k / 3 groups of five partitions. One group must hold at most two differences,
+so three of its partitions agree whole: each three partitions of each group are one signature. A set close to the next
+band also signs there. Signatures of few elements say little, and empty ones nothing: a set drops those of fewer than m
+elements, m being the most that leaves it enough groups all of whose signatures have m or more. Of two similar sets,
+the one with the larger m has a group that agrees, so its signature there has m elements in both, and both keep it. No
+similar pair can miss.
+
+The smallest and largest set of each signature combine before the shuffle, members are tied to the smallest one, ties give
+clusters of candidates, and clusters are verified in pairs of blocks of bounded size, spread evenly. A pair of blocks
+returns one row per set, not per pair: a root inside the pair and its number of links.
 
 Edge cases: a text with fewer words than a shingle has is one shingle; null texts and texts without
 words are empty and linked with nothing. Null ids get a null class. Rows that repeat an id are
@@ -20,17 +24,21 @@ documents of their own; the class is the smallest id reachable. Extra columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm.common import components, mix, runs, signed, words
 from millrace.session import settle
 
 SHINGLE, NUM, DEN = 3, 90, 100
 BAND_GROWTH = 1.5
+PARTITIONS, DIFFERENCES = 5, 2  # of a group, and how many of its elements may differ
+SPARE_GROUPS = 10  # a spare group for each so many: they make room for dropping weak signatures
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 16, 512
 LISTED_IDS = 500_000  # ids of candidates up to this many are sent along as a list of 8 bytes each
 _U = np.uint64
@@ -59,24 +67,33 @@ def row_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield chunk.lo + i, runs(chunk.hashes[a:b], b - a) if b > a else np.empty(0, _U)
 
 
+_CHOICES = np.array(list(combinations(range(PARTITIONS), PARTITIONS - DIFFERENCES)))
+
+
 def signatures(values: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of one set in its own size band and, if it may pair upwards, in the next."""
-    size = len(values)
+    """The signatures of one set in its own size band and, if it may pair upwards, in the next ones."""
+    size, found = len(values), []
     band = int(np.searchsorted(LOWS, size, "right")) - 1
-    found = []
-    for b in (band, band + 1):
-        if b > band and size * den // num < LOWS[b]:
-            break
-        k = 2 * (int(LOWS[b + 1]) - 1) * (den - num) // (den + num)
-        if not k:  # only equal sets are similar here
-            continue
-        groups = k // 2 + 1
-        part = (mix(values + _U(b + 1)) % _U(3 * groups)).astype(np.int64)
-        sums = np.zeros(3 * groups, dtype=_U)
-        np.add.at(sums, part, mix(values ^ _U(0x5851F42D4C957F2D)))
-        sums = mix(sums + np.arange(3 * groups, dtype=_U) * _U(0x9E3779B97F4A7C15)).reshape(groups, 3)
-        pairs = np.stack([sums[:, 0] + sums[:, 1], sums[:, 1] + sums[:, 2], sums[:, 2] + sums[:, 0]])
-        found.append(mix(pairs.ravel() + _U(b * 0x2545F491 + 1)))
+    low, high = (x.astype(np.float64) for x in np.divmod(mix(values ^ _U(0x5851F42D4C957F2D)), _U(1 << 32))[::-1])
+    b = band
+    while b == band or size * den // num >= LOWS[b]:
+        most = int(LOWS[b + 1]) - 1
+        k = 2 * most * (den - num) // (den + num)
+        if k:  # otherwise only equal sets are similar here
+            groups = k // (DIFFERENCES + 1) + 1
+            groups += groups // SPARE_GROUPS
+            n = groups * PARTITIONS
+            part = ((mix(values + _U(b + 1)) >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
+            # sums of 32 bits are exact as floats
+            sums = (np.bincount(part, low, n).astype(_U) * _U(0xC2B2AE3D27D4EB4F)
+                    + np.bincount(part, high, n).astype(_U) * _U(0x9E3779B97F4A7C15) + np.arange(n, dtype=_U))
+            sums = mix(sums).reshape(groups, PARTITIONS)[:, _CHOICES].sum(axis=2, dtype=_U)
+            held = np.bincount(part, minlength=n).reshape(groups, PARTITIONS)[:, _CHOICES].sum(axis=2)
+            differ = min(k, (den - num) * (size + min(most, size * den // num)) // (den + num))
+            need = differ // (DIFFERENCES + 1) + 1
+            least = np.sort(held.min(axis=1))[-need]
+            found.append(mix(sums[held >= least] + _U(b * 0x2545F491 + 1)))
+        b += 1
     return np.concatenate(found) if found else np.empty(0, _U)
 
 
@@ -104,31 +121,60 @@ def keys(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
         run, "doc_id long, n_shingles long, k1 long, k2 long")
 
 
-def signed_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, node): every signature of every set, named by its first hash."""
+def keyed(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
+    """docs with their id as a long and the two hashes of the set of each row under the given names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [_key(v) for _, v in row_sets(batch.column(batch.schema.get_field_index("text")), width)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array([t[i] for t in told], pa.int64()) for i in (0, 1))], full.names)
+
+    plain = docs.withColumn(names[0], F.col("doc_id").cast("long"))
+    full = StructType([*plain.schema, *(StructField(n, LongType()) for n in names[1:])])
+    return plain.mapInArrow(run, full)
+
+
+def shared_enough(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Of groups (k1, n_shingles and more) those that may be similar to another: looked at are the shingles in a part of the
+    domain half as large again as the share a set may have to itself."""
+    part = _U(min(3 * (den - num) * (1 << 63) // den, (1 << 64) - 1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, nodes, held = [], [], 0
-            for _, values in row_sets(batch.column(0), width):
-                own = signatures(values, num, den) if len(values) else values
+            values, nodes = [np.empty(0, _U)], [np.empty(0, np.int64)]
+            for _, own in row_sets(batch.column(0), width):
                 if len(own):
-                    sigs.append(signed(own))
-                    nodes.append(np.full(len(own), _key(values)[0], dtype=np.int64))
-                    held += len(own)
-                if held > 1 << 17:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-                    sigs, nodes, held = [], [], 0
-            if held:
+                    some = own[mix(own ^ _U(0xD6E8FEB86659FD93)) < part]
+                    values.append(some)
+                    nodes.append(np.full(len(some), _key(own)[0]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(np.concatenate(values))), pa.array(np.concatenate(nodes))], ["value", "node"])
+
+    seen = docs.where("length(text) > 0").select("text").mapInArrow(run, "value long, node long")
+    alone = (seen.groupBy("value").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+             .where("node = last").groupBy("node").agg(F.count("*").alias("alone")))
+    return (groups.join(settle(alone, "alone"), F.col("k1") == F.col("node"), "left")
+            .where(den * F.coalesce("alone", F.lit(0)) <= (den - num) * F.col("n_shingles"))
+            .select(groups.columns))
+
+
+def signed_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, node): every signature of every set, named by its first hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                names = batch.column(0).slice(low, 256).to_numpy()
+                lists = batch.column(1).slice(low, 256)
+                own = [signed(signatures(lists[i].values.to_numpy().view(_U), num, den)) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                    [pa.array(np.concatenate(own)), pa.array(np.repeat(names, [len(x) for x in own]))], ["sig", "node"])
 
-    return docs.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "sig long, node long")
+    return sets.select("k1", "values").mapInArrow(run, "sig long, node long")
 
 
-def candidate_clusters(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def candidate_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, cluster): sets that share signatures, directly or over others."""
-    sigs = signed_sets(docs, width, num, den)
+    sigs = signed_sets(sets, num, den)
     leaders = settle(sigs.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
                      .where("leader < last").select("sig", "leader"), "leaders")
     ties = settle(sigs.join(leaders, "sig").where("node <> leader")
@@ -170,7 +216,7 @@ def _set_batch(batch: pa.RecordBatch, rows: list[int], told: list[tuple]) -> pa.
 
 def block_links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], left: int,
                 num: int, den: int) -> list[tuple[int, int, int]]:
-    """(id, root, n_links) of the first `left` sets against the rest, or among themselves if all are.
+    """(name, root, n_links) of the first `left` sets against the rest, or among themselves if all are.
 
     Shingles that occur once cannot be shared and are left out; the others are counted by a product of
     two 0/1 matrices, a bounded number of columns at a time.
@@ -215,8 +261,7 @@ def block_links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], lef
 
 
 def verified(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(doc_id, root, n_links) rows of verified links from members with cluster, copies and values."""
-    members = settle(members, "sets")
+    """(node, root, n_links) rows of verified links from members with cluster, k1, k2, copies and values."""
     room = members.groupBy("cluster").agg(
         F.greatest(F.ceil(F.sum(F.size("values")) / BLOCK_SHINGLES),
                    F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("n"))
@@ -224,7 +269,7 @@ def verified(members: DataFrame, num: int, den: int) -> DataFrame:
         members.join(settle(room, "room"), "cluster")
         .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("n")).cast("int"))
         .groupBy("cluster", "block", "n")
-        .agg(F.collect_list(F.struct("doc_id", "copies", "values")).alias("sets")), "blocks")
+        .agg(F.collect_list(F.struct("k1", "copies", "values")).alias("sets")), "blocks")
     left = packed.select("cluster", F.col("block").alias("other"), "sets",
                          F.explode(F.sequence("block", F.col("n") - 1)).alias("block"))
     right = packed.select("cluster", "block", F.col("sets").alias("others"))
@@ -237,14 +282,36 @@ def verified(members: DataFrame, num: int, den: int) -> DataFrame:
             for i in range(batch.num_rows):
                 sides = [batch.column(c)[i].values for c in (0, 1)]
                 both = [np.concatenate([s.field(f).to_numpy(zero_copy_only=False) for s in sides])
-                        for f in ("doc_id", "copies")]
+                        for f in ("k1", "copies")]
                 sets = [x.values.to_numpy() for s in sides for x in s.field("values")]
                 told = block_links(*both, sets, len(sides[0]), num, den)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in (list(zip(*told)) or [[], [], []])],
-                    ["doc_id", "root", "n_links"])
+                    ["node", "root", "n_links"])
 
-    return pairs.mapInArrow(run, "doc_id long, root long, n_links long")
+    return pairs.mapInArrow(run, "node long, root long, n_links long")
+
+
+def classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n_shingles, k1, k2), and of each set of theirs (class, k1, k2, doc_id, copies, n_links, class_id): the
+    smallest id that has it, its class and the smallest id in that, and how many other rows a row of it is similar to."""
+    rows = settle(keys(docs, width), "keys")
+    real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    groups = settle(real.groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")), "groups")
+    members = settle(shared_enough(docs, groups, width, num, den), "members")
+    sets = settle(fetch_sets(docs, members, width), "sets")
+    clusters = candidate_clusters(sets, num, den)
+    links = settle(verified(sets.join(clusters.withColumnRenamed("node", "k1"), "k1"), num, den), "links")
+    roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
+    degree = links.groupBy("node").agg(F.sum("n_links").alias("near"))
+    told = settle(
+        groups.join(roots.withColumnRenamed("node", "k1"), "k1", "left")
+        .join(degree.withColumnRenamed("node", "k1"), "k1", "left")
+        .select("k1", "k2", "doc_id", "copies", F.coalesce("root", "k1").alias("class"),
+                (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "told")
+    low = told.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return rows, settle(told.join(low, "class"), "classes")
 
 
 def join(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -252,40 +319,37 @@ def join(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN)
 
     Two rows are linked when den * shared shingles >= num * shingles of either.
     """
-    rows = settle(keys(docs, width), "keys")
-    real = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    groups = settle(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"),
-                                                 F.count("*").alias("copies")), "groups")
-    clusters = candidate_clusters(docs, width, num, den)
-    members = settle(groups.join(clusters, F.col("k1") == F.col("node"))
-                     .select("cluster", "doc_id", "k1", "k2", "copies"), "members")
-    links = settle(verified(fetch_sets(docs, members, width), num, den), "links")
-    roots = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "classes")
-    degree = links.groupBy("doc_id").agg(F.sum("n_links").alias("near"))
-    told = (groups.join(roots, F.col("doc_id") == F.col("node"), "left").join(degree, "doc_id", "left")
-            .select("k1", "k2", F.coalesce("root", "doc_id").alias("component_id"),
-                    (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    rows, told = classes(docs, width, num, den)
     full = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return rows.join(settle(told, "told"), ["k1", "k2"], "left").select(
+    return rows.join(told.select("k1", "k2", "class_id", "n_links"), ["k1", "k2"], "left").select(
         "doc_id", "n_shingles",
-        F.when(full, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(full, F.col("class_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(full, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The rows of smallest id of each class. Rows with a null id stay; rows that repeat an id and a
-    text count once."""
-    classes = settle(join(docs, width, num, den), "kept")
-    name = "id"
-    while name in map(str.lower, docs.columns):
-        name += "_"
-    dropped = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
-    again = (classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name))
-             .agg(F.count("*").alias("n")).where("n > 1").select(name))
-    same = F.col("doc_id").cast("long") == F.col(name)
-    once = docs.join(listed(dropped.unionByName(again)), same, "left_anti")
-    more = docs.join(listed(again), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more)
+    """One row of each class, of the smallest id in it. Rows with a null id, and rows without words, stay. Decided is by
+    row: another text under the id of a row that goes stays. Of rows of that id that have the same set, or are in the same
+    class, one stays."""
+    rows, told = classes(docs, width, num, den)
+    first = told.groupBy("class").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("first"))
+    held = settle(told.join(first, "class").where("k1 = first.k1 AND k2 = first.k2")
+                  .select("k1", "k2", F.col("first.doc_id").alias("keeps")), "held")
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in ("id", "k1", "k2"):
+        while name in taken:
+            name += "_"
+        names.append(name)
+        taken.add(name)
+    judged = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id", "k1", "k2").agg(
+        F.count("*").alias("n")).join(held, ["k1", "k2"], "left")
+    stays = F.coalesce(F.col("doc_id") == F.col("keeps"), F.lit(False))
+    judged = settle(judged.select("doc_id", "k1", "k2", "n", stays.alias("stays")).toDF(*names, "n", "stays"), "judged")
+    ids = keyed(docs, width, names)
+    once = ids.join(listed(judged.where("NOT stays OR n > 1").select(names)), names, "left_anti")
+    more = ids.join(listed(judged.where("stays AND n > 1").select(names)), names, "left_semi").dropDuplicates(names)
+    return once.unionByName(more).select(docs.columns)
 
 
 def listed(ids: DataFrame) -> DataFrame:

@@ -22,7 +22,6 @@ alike. Texts with fewer than 20 words keep all. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,7 +42,6 @@ SHARD_VISITS = 2_000
 LAST = (1 << 63) - 1
 LISTED_IDS = 500_000
 _U = np.uint64
-_WORD = re.compile(WORD)
 
 
 def sequence_key(hashes: np.ndarray) -> tuple[int, int]:
@@ -55,8 +53,8 @@ def sequence_key(hashes: np.ndarray) -> tuple[int, int]:
     return int(signed(a)[0]), int(signed(b)[0])
 
 
-def sha(kept: list[str]) -> str:
-    return hashlib.sha256(" ".join(kept).encode()).hexdigest()
+def sha(kept: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -70,11 +68,9 @@ def profile(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for c in words(batch.column(2)):
-                body = c.data.tobytes()
                 for i in range(c.hi - c.lo):
                     a, b = int(c.first[i]), int(c.first[i + 1])
-                    kept = b" ".join([body[s:e] for s, e in zip(c.start[a:b].tolist(), c.end[a:b].tolist())])
-                    rows.append((b - a, *sequence_key(c.hashes[a:b]), hashlib.sha256(kept).hexdigest()))
+                    rows.append((b - a, *sequence_key(c.hashes[a:b]), sha(c.found[a:b])))
             told = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(t, pa.int64()) for t in told[:3]),
@@ -183,9 +179,7 @@ def passages(firsts: DataFrame) -> DataFrame:
                         for k in range(0, len(line), PIECE_WINDOWS):
                             piece = line[k:k + PIECE_WINDOWS]
                             low, high = int(piece[0]), int(piece[-1]) + WINDOW
-                            body = b" ".join(c.data[s:e].tobytes() for s, e in
-                                             zip(c.start[a + low:a + high], c.end[a + low:a + high]))
-                            rows.append((names[row].as_py(), low, body.decode(),
+                            rows.append((names[row].as_py(), low, b" ".join(c.found[a + low:a + high]).decode(),
                                          here[piece].tolist()))
             told = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
@@ -200,11 +194,11 @@ class Automaton:
     """The pieces of a shard. A word is one character here; words that no piece has are all alike."""
 
     def __init__(self, pieces: list[tuple[int, int, str]]):
-        self.letters: dict[str, str] = {}
+        self.letters: dict[bytes, str] = {}
         self.pieces = []
         spots: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (doc, begin, phrase) in enumerate(pieces):
-            coded = "".join(self._letter(w) for w in phrase.split(" "))
+            coded = "".join(self._letter(w) for w in phrase.encode().split())
             self.pieces.append((doc, begin, coded))
             for at in range(0, len(coded) - PHRASE + 1, PHRASE_STEP):
                 spots[coded[at:at + PHRASE]].append((n, at))
@@ -214,13 +208,13 @@ class Automaton:
         if spots:
             self.automaton.make_automaton()
 
-    def _letter(self, word: str) -> str:
+    def _letter(self, word: bytes) -> str:
         if word not in self.letters:
             n = len(self.letters) + 1
             self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
         return self.letters[word]
 
-    def spans(self, doc: int, found: list[str]) -> list[tuple[int, int]]:
+    def spans(self, doc: int, found: list[bytes]) -> list[tuple[int, int]]:
         """Word ranges [a, b) of a document that lie in a piece, its own first place excepted."""
         if not self.pieces:
             return []
@@ -261,7 +255,7 @@ def located(shards: DataFrame) -> DataFrame:
                     continue
                 if automaton is None:
                     automaton = Automaton(pieces)
-                spans = automaton.spans(doc, _WORD.findall(text))
+                spans = automaton.spans(doc, text.encode().split())
                 if spans:
                     rows.append((doc, begin, [s[0] for s in spans], [s[1] for s in spans]))
             told = list(zip(*rows)) or [[]] * 4
@@ -314,13 +308,13 @@ def removed(texts: DataFrame, spans: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text, starts, ends in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
-                found = _WORD.findall(text)
+                found = text.encode().split()
                 depth = np.zeros(len(found) + 1, dtype=np.int64)
                 np.add.at(depth, starts, 1)
                 np.add.at(depth, ends, -1)
                 keep = np.flatnonzero(np.cumsum(depth)[:-1] == 0)
                 kept = [found[i] for i in keep]
-                rows.append((len(found) - len(kept), sha(kept), " ".join(kept)))
+                rows.append((len(found) - len(kept), sha(kept), b" ".join(kept).decode()))
             told = list(zip(*rows)) or [[]] * 3
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(told[0], pa.int64()), pa.array(told[1], pa.string()),

@@ -17,6 +17,7 @@ Strings that look like special tokens are ordinary text.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import span_hashes, text_chunks
+from millrace.llm.common import text_chunks
 from millrace.session import scratch_path
 
 END_ID = 2
@@ -34,17 +35,14 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 PART_CHARS = 8_000_000
-MEMORY_PIECES = 1_500_000
-# Bytes that begin a visible character after a space. Left out are those that also begin white space.
-PLAIN_START = np.zeros(256, dtype=bool)
-PLAIN_START[0x21:0x7F] = PLAIN_START[0xC3:0xE1] = PLAIN_START[0xE4:0xF5] = True
+MEMORY_PIECES = 600_000
+LONG_PIECE = 100
+_CUT = re.compile(r"(?= \S)")
 
 
 class Encoder:
-    """Encodes chunks of texts with a tokenizer file.
-
-    The ids of up to MEMORY_PIECES pieces are kept, found by hash and length; then it starts afresh.
-    """
+    """Encodes texts with a tokenizer file. The ids of up to MEMORY_PIECES pieces are kept, found by the piece itself;
+    then it starts afresh."""
 
     def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
@@ -55,77 +53,56 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.entries = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)  # sorted by hash
-        self.sizes = np.empty(0, dtype=np.int32)  # in bytes, like entries
-        self.at, self.flat = np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int32)  # by entry
+        self.first: dict[str, bytes] = {"": b""}  # ids of pieces that begin a text
+        self.later: dict[str, bytes] = {}  # ids of pieces by what follows the space they begin with
+        self.odd: set[str] = set()  # words before which a text cannot be cut
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<i4")
 
-    def _encode(self, pieces: list[str]) -> list[np.ndarray]:
+    def _encode(self, words: list[str]) -> None:
         """Many pieces are encoded as one text: a carriage return between two is a token of its own if
         the piece before it ends visibly and the next begins with a space. Others go one by one."""
-        out: list[np.ndarray] = [np.empty(0, np.int32)] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if p[0] == " " and not p[-1].isspace() and "\r" not in p]
+        plain = [w for w in words if not w[-1].isspace() and "\r" not in w]
         for low in range(0, len(plain), 1_024):
             some = plain[low:low + 1_024]
-            ids = self._ids("".join([pieces[i] + "\r" for i in some]))
+            ids = self._ids("".join([f" {w}\r" for w in some]))
             stops = np.flatnonzero(ids == self.stop)
-            for i, own in zip(some, np.split(ids, stops + 1)):
-                out[i] = own[:-1]
-        for i in set(range(len(pieces))).difference(plain):
-            out[i] = self._ids(pieces[i])
-        return out
-
-    def _find(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where pieces stand among the known ones, and whether they do."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        where = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return where, (self.hashes[where] == hashes) & (self.sizes[where] == sizes)
-
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
-        hashes, first = np.unique(hashes, return_index=True)
-        start, end = start[first], end[first]
-        told = self._encode([data[a:b].tobytes().decode() for a, b in zip(start.tolist(), end.tolist())])
-        if len(self.hashes) + len(hashes) > max(MEMORY_PIECES, len(hashes)):
+            for w, own in zip(some, np.split(ids, stops + 1)):
+                self.later[w] = own[:-1].tobytes()
+        for w in set(words).difference(plain):
+            self.later[w] = self._ids(" " + w).tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text: the first as it is, the others without the space they begin with."""
+        words = text.split(" ")
+        later = set(words[1:])
+        if self.odd.isdisjoint(later):
+            strange = [w for w in later.difference(self.later) if not w or w[0].isspace()]
+            if not strange:
+                return words
+            self.odd.update(w for w in strange if len(w) < 64)
+        pieces = _CUT.split(text)
+        return [pieces[0], *(p[1:] for p in pieces[1:])]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian integers of 32 bits."""
+        if len(self.first) + len(self.later) > MEMORY_PIECES:
             self._forget()
-        place = np.searchsorted(self.hashes, hashes)
-        n = len(self.at) - 1
-        self.hashes = np.insert(self.hashes, place, hashes)
-        self.entries = np.insert(self.entries, place, np.arange(n, n + len(hashes), dtype=np.int32))
-        self.sizes = np.insert(self.sizes, place, (end - start).astype(np.int32))
-        self.flat = np.concatenate([self.flat, *told])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in told])])
-
-    def __call__(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of rows of UTF-8 text, given their bytes and offsets."""
-        cut = np.zeros(len(data), dtype=bool)
-        cut[:-1] = (data[:-1] == 0x20) & PLAIN_START[data[1:]]
-        full = rows[1:] > rows[:-1]
-        cut[rows[1:][full] - 1] = False  # what follows the last byte of a row is another row
-        cut[rows[:-1][full]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data)) if len(start) else start
-        hashes, sizes = span_hashes(data, start, end), end - start
-        where, known = self._find(hashes, sizes)
-        if not known.all():
-            new = ~known
-            self._learn(data, start[new], end[new], hashes[new])
-            where, known = self._find(hashes, sizes)
-            if not known.all():  # it started afresh, or two pieces share a hash
-                return self._plainly(data, rows)
-        entry = self.entries[where]
-        first = self.at[entry]
-        n = self.at[entry + 1] - first
-        ends = np.cumsum(n)
-        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        before = np.append(0, ends)[np.searchsorted(start, rows)]
-        return ids, np.diff(before)
-
-    def _plainly(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        told = [self._ids(data[a:b].tobytes().decode()) for a, b in zip(rows[:-1], rows[1:])]
-        return np.concatenate([np.empty(0, np.int32), *told]), np.array([len(x) for x in told], dtype=np.int64)
+        cut = [self._cut(t) for t in texts]
+        new = set().union(*(c[1:] for c in cut)).difference(self.later)
+        if new:
+            self._encode(sorted(new))
+        for c in cut:
+            if c[0] not in self.first:
+                self.first[c[0]] = self._ids(c[0]).tobytes()
+        out = [self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])) for c in cut]
+        for c in cut:  # what is long hardly comes again
+            for w in c:
+                if len(w) > LONG_PIECE:
+                    self.first.pop(w, None)
+                    self.later.pop(w, None)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -154,16 +131,15 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, parts: int | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before, part = encoder(path), 0, TaskContext.get().partitionId()
+        stop = np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
             for lo, hi, data, rows in text_chunks(batch.column(1)):
-                ids, n = encode(data, rows)
-                n = n + 1
+                body, at = data.tobytes(), rows.tolist()
+                told = [t + stop for t in encode([body[a:b].decode() for a, b in zip(at[:-1], at[1:])])]
+                n = np.array([len(t) // 4 for t in told])
                 ends = np.cumsum(n)
-                out = np.full(len(ids) + len(n), end_id, dtype=np.int32)
-                own = np.ones(len(out), dtype=bool)
-                own[ends - 1] = False
-                out[own] = ids
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),
+                                                 pa.array(np.frombuffer(b"".join(told), "<i4")))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.full(len(n), part, np.int32)),
                      pa.array(before + ends - n), lists], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])

@@ -37,6 +37,12 @@ def awkward(spark):
         (None, prose(11), "es", "a"), (12, "12345 !!! ???", "es", "c"), (13, "été 日本   ñandú", "fr", "c")])
 
 
+def thue_morse(n=1024):
+    """Two words that any polynomial hash modulo a power of two takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
 def empty(spark):
     return docs(spark, [])
 
@@ -50,4 +56,4 @@ def table(spark, name):
     return given(spark, SF_DIR, name)
 
 
-__all__ = ["SF_DIR", "WORD", "awkward", "docs", "empty", "lower", "plain", "prose", "table"]
+__all__ = ["SF_DIR", "WORD", "awkward", "docs", "empty", "lower", "plain", "prose", "table", "thue_morse"]

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from helpers import SF_DIR, WORD, awkward, docs, empty, lower, plain, prose, table
+from helpers import SF_DIR, WORD, awkward, docs, empty, lower, plain, prose, table, thue_morse
 from millrace.llm import decontaminate, licenses, ngram_join, phrases
 from millrace.llm.common import words
 
@@ -50,9 +50,7 @@ def test_words_match_the_rule():
     texts = ["a b c", None, "", " x\ty\r\nz ", "A B c", "é ñ"]
     got = []
     for c in words(pa.array(texts)):
-        body = c.data.tobytes()
-        got += [[body[s:e].decode() for s, e in zip(c.start[a:b], c.end[a:b])]
-                for a, b in zip(c.first[:-1], c.first[1:])]
+        got += [[w.decode() for w in c.found[a:b]] for a, b in zip(c.first[:-1], c.first[1:])]
     assert got == [WORD.findall(t or "") for t in texts]
 
 
@@ -225,14 +223,19 @@ def brute_kept(rows, width, num, den):
         w = WORD.findall(lower(t or ""))
         sets[d] = {tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
     root = {d: d for d in sets}
-    changed = True
-    while changed:
-        changed = False
-        for a, x in sets.items():
-            for b, y in sets.items():
-                if a != b and x and den * len(x & y) >= num * len(x | y) and root[a] > root[b]:
-                    root[a], changed = root[b], True
-    return {root[d] for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            x, y = sets[a], sets[b]
+            if x and den * len(x & y) >= num * len(x | y):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {top(d) for d in sets}
 
 
 def test_pipeline_drops_near_copies_of_five_words_and_four_fifths(spark):
@@ -276,3 +279,34 @@ def test_short_notices_are_found(spark):
     assert {(r[0], r[1]): tuple(r)[2:] for r in found.collect()} == want and len(want) == 8
     given = licenses.scan(docs(spark, [(1, "© X. All rights reserved.", None, None)]), licenses.templates(spark)).collect()
     assert [r["license_id"] for r in given] == ["all-rights-reserved"]
+
+
+def test_repetitive_words_are_told_apart(spark):
+    """Words that structured hashes confuse: neither linked, nor taken for copies, nor for a window that was there."""
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, " ".join([a] * 25)), (4, " ".join([b] * 25)), (5, prose(1, 30) + " " + a), (6, prose(1, 30) + " " + b)]
+    frame = docs(spark, [(d, t, None, None) for d, t in rows])
+    assert sorted(plain(ngram_join.join(frame)), key=str) == brute_join(rows)
+    assert sorted(plain(phrases.dedup(frame)), key=str) == brute_phrases(rows)
+
+
+def test_keep_one_decides_by_row(spark):
+    a, b = prose(1, 80), prose(2, 80)
+    near = a + " end"
+    rows = [(3, a), (5, a), (5, b), (7, near), (7, b.upper()), (8, "x y"), (8, "z q"), (8, "X Y"), (9, a + " fin"), (9, near),
+            (2, prose(3)), (2, prose(4)), (4, prose(3)), (4, prose(4) + " z")]
+    frame = docs(spark, [(d, t, None, None) for d, t in rows])
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(frame).collect()]
+    assert sorted((d, t.lower()) for d, t in kept) == sorted(
+        [(3, a), (5, b), (8, "x y"), (8, "z q"), (2, prose(3)), (2, prose(4))])
+    assert sorted(plain(ngram_join.join(frame)), key=str) == brute_join(rows)
+
+
+def test_copies_and_sets_of_their_own_go_no_further(spark):
+    """Most texts have too many shingles to themselves; no pair that is similar is among them."""
+    rows = [(i, prose(i, 150)) for i in range(60)] + [(100 + i, mutated(prose(i, 150), 2, i)) for i in range(10)]
+    frame = docs(spark, [(d, t, None, None) for d, t in rows])
+    _, told = ngram_join.classes(frame, 5, 80, 100)
+    groups = told.select("k1", "k2", "doc_id", "copies", ngram_join.F.lit(146).alias("n_shingles"))
+    left = {r["doc_id"] for r in ngram_join.shared_enough(frame, groups, 5, 80, 100).collect()}
+    assert {*range(10), *range(100, 110)} <= left and len(left) < 40

@@ -1,6 +1,7 @@
 """Tokenizer alignment, URL rules and whitening against plain rules, exact properties and awkward rows."""
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -44,18 +45,23 @@ def token_ends(models, text):
     return (a_ids, ends(a_bytes), b_ids, ends(b_bytes)) if same else None
 
 
+def grouped(told):
+    a, ae, b, be = told
+    cuts = sorted(set(ae) & set(be))
+    own = [([], []) for _ in cuts]
+    for side, ids, last in ((0, a, ae), (1, b, be)):
+        for i, e in zip(ids, last):
+            own[bisect_left(cuts, e)][side].append(i)
+    return own
+
+
 def by_hand(models, texts):
     """n_a, n_b, n_groups, n_links, n_best, count_sum and checksum of each text."""
     groups = []
     for text in texts:
         told, own = token_ends(models, text) if text else None, []
         if told:
-            a, ae, b, be = told
-            cuts = sorted(set(ae) & set(be))
-            own = [([], []) for _ in cuts]
-            for side, ids, last in ((0, a, ae), (1, b, be)):
-                for i, e in zip(ids, last):
-                    own[bisect_left(cuts, e)][side].append(i)
+            own = grouped(told)
         groups.append((own, told))
     held, high = Counter(), defaultdict(int)
     for own, _ in groups:
@@ -101,20 +107,37 @@ def test_alignment_of_awkward_rows_and_of_none(spark, models):
     assert align.align(empty(spark), A, B).collect() == []
 
 
-def test_memory_that_is_given_back_changes_nothing(spark, models, monkeypatch):
-    monkeypatch.setattr(align, "SEGMENT_BYTES", 10)
+def test_memory_that_is_given_back_changes_nothing(models, monkeypatch):
+    monkeypatch.setattr(align, "MEMORY_SEGMENTS", 10)
     own = align.Aligner(A, B)
-    texts = [prose(i, 40) for i in range(20)]
+    texts = [prose(i, 40) for i in range(20)] + [f"{t}\n{t}" for t in ODD]
     for text in texts * 2:
         (places,) = own.places([text])
-        assert len(own.segments) <= 45
-        assert [own.stats[places].sum(axis=0)[k] for k in range(2)] == [len(token_ends(models, text)[k]) for k in (0, 2)]
+        told = token_ends(models, text)
+        assert len(own.index) <= 60 and (places is None) == (told is None)
+        if told:
+            assert own.told(places)[0][:2] == [len(told[0]), len(told[2])]
+
+
+def test_texts_of_odd_bits_are_cut_where_nothing_is_joined(models):
+    bits = [" ", "  ", "\n", " \n", "\r\n", "\n\n", "a", "b.", "'s", "é", "12", "\u3000", "\t", ".", "x y", " q", "日", "\x1c",
+            "\x85", "\u2028", "<s>", "\U0001f600", "▁", "don't"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    own = align.Aligner(A, B)
+    for low in range(0, len(texts), 100):
+        for text, places in zip(texts[low:low + 100], own.places(texts[low:low + 100])):
+            told = token_ends(models, text)
+            assert (places is None) == (told is None), repr(text)
+            if told:
+                assert b";".join(own.groups[p] for p in places) == b";".join(
+                    f"{','.join(map(str, x))}|{','.join(map(str, y))}".encode() for x, y in grouped(told)), repr(text)
 
 
 def test_refined_spans_take_the_tokens_bytes():
     # three tokens share one character of three bytes; then a plain token, then bytes with empty spans
-    assert align.refined([(0, 3), (0, 3), (0, 3), (3, 7)], [1, 1, 1, 4]) == [1, 2, 3, 7]
-    assert align.refined([(0, 2), (2, 2), (2, 2), (2, 5), (5, 8)], [2, 1, 1, 1, 3]) == [2, 3, 4, 5, 8]
+    spans = np.array([(0, 3), (0, 3), (0, 3), (3, 7), (7, 7), (7, 9), (9, 12)])
+    assert align.refined(spans, np.array([1, 1, 1, 4, 1, 1, 3])).tolist() == [1, 2, 3, 7, 8, 9, 12]
 
 
 # --- URL rules

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from helpers import SF_DIR, WORD, awkward, docs, empty, plain, table
+from test_llm_joins import brute_kept
+from helpers import SF_DIR, WORD, awkward, docs, empty, plain, table, thue_morse
 from millrace.llm import html_main, language, mixing, ngram_join, quality, token_files, topk
 from millrace.llm.queries import op2_html_main_text, op3_quality_rules, op7_exact_top_k, op10_language_id, tokenizer_file
 from millrace.session import settle
@@ -193,11 +194,11 @@ def test_encoder_equals_the_library(monkeypatch):
     rng = random.Random(2)
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
     encode = token_files.Encoder(tokenizer_file())
-    from millrace.llm.common import text_chunks
-    for lo, hi, data, rows in text_chunks(pa.array(texts)):
-        ids, n = encode(data, rows)
-        for text, own in zip(texts[lo:hi], np.split(ids, np.cumsum(n)[:-1])):
-            assert own.tolist() == encode.library.encode(text, add_special_tokens=False).ids
+    texts += thue_morse() * 2
+    for low in range(0, len(texts), 7):
+        for text, own in zip(texts[low:low + 7], encode(texts[low:low + 7])):
+            assert np.frombuffer(own, "<i4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
+            assert len(encode.later) < 40 + 7 * 14
 
 
 def test_token_files_round_trip(spark, tmp_path):
@@ -281,8 +282,9 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
             assert ids == {d for d, w in want.items() if w[2]}
             assert all(r["lang"] == want[r["doc_id"]][0] for r in rows)
         elif i == 1:
-            classes = ngram_join.join(docs_now).collect()
+            classes = ngram_join.join(docs_now, 5, 80, 100).collect()
             assert ids == {r["component_id"] for r in classes} and len(rows) == len(ids)
+            assert ids == brute_kept([(r["doc_id"], r["text"]) for r in before], 5, 80, 100)
         elif i == 2:
             items = [decontaminate.plain(r["text"]) for r in table(spark, "benchmark").collect()]
             assert not any(x in decontaminate.plain(r["text"]) for r in rows for x in items)
