@@ -112,11 +112,24 @@ def folded_states(snapshots: DataFrame, snaps: DataFrame, ignored: Iterable[str]
             .agg(F.count("*").alias("n"), F.max("row_no").alias("last_row")))
 
 
+def up_to_now(windows: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The windows, the week's ending with the live table: the last state the set has up to the report time, whether it
+    is in the catalogue the windows were made from or not."""
+    behind = windows.where((F.col("window") == "week") & (F.col("newer.snap_ts") < F.col("report_ts")))
+    if behind.isEmpty():
+        return windows
+    up_to = behind.select("report_ts", (F.col("report_ts") + F.expr("INTERVAL 0.000001 SECOND")).alias("cutoff"))
+    live = latest_before(up_to, catalogue(snapshots), "cutoff").select("report_ts", F.lit("week").alias("window"),
+                                                                       F.col("snap").alias("live"))
+    return windows.join(live, ["report_ts", "window"], "left").withColumn(
+        "newer", F.when(F.col("newer").isNotNull(), F.greatest("newer", F.coalesce("live", "newer")))).drop("live")
+
+
 def transition_counts(windows: DataFrame, snapshots: DataFrame,
                       ignored: Iterable[str]) -> DataFrame:
     """Transitions per (report_ts, window). Of several older rows with one key the last counts;
-    every newer row counts."""
-    windows = settle(windows, "windows")
+    every newer row counts. `sweep.transition_counts` gives the same from a history of changes."""
+    windows = settle(up_to_now(settle(windows, "windows"), snapshots), "windows")
     real = windows.where("newer is not null and older is not null")
     snaps = real.select("newer.*").union(real.select("older.*")).distinct()
     states = settle(folded_states(snapshots, snaps, ignored), "states")

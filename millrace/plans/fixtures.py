@@ -110,6 +110,15 @@ SELECT DISTINCT day || ' 12:00:00' AS snap_at, 'baseline' AS label FROM (@days)
 """
 DAYS = "SELECT substr(CAST(ts AS STRING), 1, 10) AS day FROM {events}"
 
+# The live table: the last posting of each name, some of them edited since the last snapshot and some removed.
+LIVE = """
+SELECT ord AS row_no, company, title,
+  CASE WHEN ord % 9 = 4 THEN '❌ Not Relevant' ELSE move END AS move,
+  CASE WHEN ord % 8 = 3 THEN '📤 Applied' ELSE stage END AS stage
+FROM (SELECT *, row_number() OVER (PARTITION BY company, title ORDER BY ts DESC, ord DESC) AS place FROM {postings}) p
+WHERE place = 1 AND ord % 13 <> 6
+"""
+
 # One file name per event; some are no snapshot names.
 FILE_NAMES = """
 SELECT ord, CASE WHEN ord % 10 = 3 THEN 'export-' ELSE '' END
@@ -252,6 +261,9 @@ class Inputs:
                 .join(self.snap_times(), "snap_ts")
                 .where("label <> 'before-upsert' OR source <> 'view'"))
 
+    def live(self) -> DataFrame:
+        return self._sql(LIVE, postings=self.postings())
+
     def reports(self) -> DataFrame:
         """A report every noon."""
         noon = self.snap_times().where("date_format(snap_ts, 'HH') = '12'")

@@ -260,6 +260,19 @@ CTES["activity"] = """
       ON b.snap_ts = w.older.t AND b.label = w.older.l AND b.k = n.k
     GROUP BY ALL"""
 
+CTES["live"] = fx.LIVE
+CTES["live_states"] = f"""
+    SELECT row_no, {key('company', 'title')} AS k,
+      contains(move, '✅ Applied') OR contains(stage, '📤 Applied') AS cv,
+      contains(move, '❌ Not Relevant') AS nr, {any_of('stage', fv.ACTIVE_STAGES)} AS adv,
+      contains(stage, 'Rejected') AS rej FROM live"""
+CTES["all_states"] = """
+    SELECT * FROM states UNION ALL SELECT TIMESTAMP '9999-12-31 00:00:00', 'live', * FROM live_states"""
+CTES["live_windows"] = """
+    SELECT * REPLACE (CASE WHEN "window" = 'week' AND newer IS NOT NULL
+      THEN struct_pack(t := TIMESTAMP '9999-12-31 00:00:00', l := 'live') ELSE newer END AS newer) FROM activity_windows"""
+CTES["live_activity"] = CTES["activity"].replace("activity_windows", "live_windows").replace("states", "all_states")
+
 # What each derived input needs, in order of definition.
 NEEDS = {
     "board": ["postings"], "cells": ["postings"], "incoming": ["postings"],
@@ -275,6 +288,8 @@ NEEDS = {
     "parsed": ["file_names"], "catalogue": ["parsed"], "snapshots": ["snap_times", "postings"],
     "reports": ["snap_times"], "activity_windows": ["reports"], "hour_windows": ["hours", "catalogue"],
     "states": ["snapshots"], "activity": ["activity_windows", "states"],
+    "live": ["postings"], "live_states": ["live"], "all_states": ["states", "live_states"],
+    "live_windows": ["activity_windows"], "live_activity": ["live_windows", "all_states"],
 }
 
 
@@ -454,6 +469,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT strftime(report_ts, {STAMP}) AS report_ts, "window", """ + ", ".join(
                 f"CASE WHEN real THEN {c} ELSE -1 END AS {c}"
                 for c in ("new", "cv", "nr", "adv", "rej")) + " FROM activity"),
+        "history_states": using("snapshots", f"""
+            SELECT strftime(s.snap_ts, {STAMP}) AS snap_ts, s.label, count(*) AS n,
+              CAST(sum(s.row_no) AS BIGINT) AS row_nos, count(*) FILTER (WHERE p.stage <> '') AS staged,
+              CAST(sum(length(p.move)) AS BIGINT) AS move_chars, count(DISTINCT p.company) AS companies
+            FROM snapshots s JOIN postings p ON p.ord = s.row_no GROUP BY s.snap_ts, s.label"""),
+        "activity_live": using("live_activity", f"""
+            SELECT strftime(report_ts, {STAMP}) AS report_ts, "window", """ + ", ".join(
+                f"CASE WHEN real THEN {c} ELSE -1 END AS {c}"
+                for c in ("new", "cv", "nr", "adv", "rej")) + " FROM live_activity"),
         "activity_report": using("activity", f"""
             , mail AS (SELECT date_trunc('day', ts) + INTERVAL 12 HOUR AS report_ts, count(*) AS n
               FROM events WHERE event_type = 'view' GROUP BY 1),

@@ -11,17 +11,18 @@ from millrace import fixed_values as fv
 from millrace.functions.identity import link_reference, name_key, with_identity
 from millrace.functions.text import (line_kind, long_numbers, plain_name, present, script_counts,
                                      stop_words)
-from millrace.operators import admit, diff, extract, merge, rank, scan
+from millrace.operators import admit, diff, extract, merge, rank, scan, sweep
 from millrace.plans.fixtures import (AS_OF, HOME, INTAKE_AT, INTAKE_DAYS, MESSAGES, PLACES,
                                      Inputs, with_heads)
-from millrace.session import scratch_path
-from millrace.sources import intents, ledger
+from millrace.session import scratch_path, settle
+from millrace.sources import history, intents, ledger
 from millrace.sources.snapshots import parsed_names
 from millrace.sources.versions import Versions
 from millrace.streaming import intake
 
 WORDS = stop_words(PLACES)
 STAMP = "yyyy-MM-dd HH:mm:ss"
+STATES = ["company", "title", "move", "stage"]
 
 
 def text_of(column) -> Column:
@@ -178,6 +179,37 @@ def activity_counts(x: Inputs) -> DataFrame:
                                *[F.coalesce(c, F.lit(-1)).alias(c) for c in diff.COUNTED])
 
 
+def _history(x: Inputs) -> DataFrame:
+    return history.events_of(x.snapshots().select("snap_ts", "label", "row_no", *STATES), STATES)
+
+
+def history_states(x: Inputs) -> DataFrame:
+    """Every former state out of the row versions, per snapshot."""
+    versions = settle(history.intervals(_history(x)), "intervals")
+    times = x.snap_times().select(F.struct("snap_ts", "label").alias("at"))
+    # versions meet the times between their ends by slots of the ordered list of times
+    slots = times.agg(F.array_sort(F.collect_set("at")).alias("all")).scalar()
+    held = versions.withColumn("all", slots).select("row_no", *STATES, F.explode(F.filter(
+        "all", lambda t: (F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (t < F.col("valid_to"))))).alias("at"))
+    return held.groupBy("at").agg(
+        F.count("*").alias("n"), F.sum("row_no").alias("row_nos"), F.count_if(F.col("stage") != "").alias("staged"),
+        F.sum(F.length("move")).alias("move_chars"), F.count_distinct("company").alias("companies")).select(
+            text_of("at.snap_ts").alias("snap_ts"), F.col("at.label").alias("label"), "n", "row_nos", "staged", "move_chars",
+            "companies")
+
+
+def activity_live(x: Inputs) -> DataFrame:
+    """The activity of every report, each week up to the live table, which differs from the last snapshot."""
+    events = settle(sweep.with_live(_history(x), x.live(), STATES), "events")
+    windows = diff.report_windows(x.reports(), x.snap_times(), "baseline")
+    live = windows.withColumn("newer", F.when(F.col("window") == "week", F.when(F.col("newer").isNotNull(), sweep.live_time()))
+                              .otherwise(F.col("newer")))
+    snaps = x.snap_times().unionByName(x.spark.range(1).select(sweep.live_time().alias("at")).select("at.*"))
+    counts = sweep.transition_counts(live, history.intervals(events), snaps, WORDS)
+    return counts.select(text_of("report_ts").alias("report_ts"), "window",
+                         *[F.coalesce(c, F.lit(-1)).alias(c) for c in sweep.COUNTED])
+
+
 def activity_report(x: Inputs) -> DataFrame:
     """Mail counts come from the day's view events; days with an even number give none."""
     day = F.date_trunc("day", "ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(12))
@@ -342,6 +374,7 @@ NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     priority_rank, row_class, domain_check,
     update_match, update_apply, flag_apply, audit_log,
     snapshot_catalog, snapshot_retention, baseline_asof, activity_counts, activity_report,
+    history_states, activity_live,
     message_intake, ledger_anti, mime_bodies, link_harvest, unknown_domains, source_liveness,
     digest_render, html_text, line_kinds, text_direction,
     intent_route, intent_explode, ledger_stream, ledger_entries, ledger_read, intent_apply, cycle_digest)}
