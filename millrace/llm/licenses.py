@@ -156,16 +156,22 @@ def oracle(texts: dict[str, str] | None = None) -> str:
     """The same matches by exact containment of every window, without sketches."""
     quoted = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in
                        (TEMPLATES if texts is None else texts).items())
-    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(SHINGLE))
-    last = SHINGLE - 1
+    def run(width: int) -> str:
+        return " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+
+    def every(table: str, key: str, keep: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT {key}, {k} AS width, i - 1 AS pos, {run(k)} s FROM (SELECT {key}, w, unnest(range(1, len(w) - {k} + 2)) i "
+            f"FROM {table} WHERE {keep.format(k)})" for k in range(1, SHINGLE + 1))
+
     return f"""
 WITH t(license_id, text) AS (VALUES {quoted}),
 tw AS (SELECT license_id, regexp_extract_all(lower(text), '{WORDS}') w FROM t),
-ts AS (SELECT DISTINCT license_id, {run} s FROM (SELECT license_id, w, unnest(range(1, len(w) - {last - 1})) i FROM tw)),
+ts AS (SELECT DISTINCT license_id, width, s FROM ({every("tw", "license_id", f"least(len(w), {SHINGLE}) = {{}}")})),
 tn AS (SELECT license_id, count(*) n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) l FROM ts GROUP BY 1),
 dw AS (SELECT doc_id, regexp_extract_all(lower(text), '{WORDS}') w FROM documents),
-ds AS (SELECT doc_id, i - 1 AS pos, {run} s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {last - 1})) i FROM dw)),
-hit AS (SELECT doc_id, pos, license_id, s, n, l FROM ds JOIN ts USING (s) JOIN tn USING (license_id)),
+ds AS ({every("dw", "doc_id", "len(w) >= {}")}),
+hit AS (SELECT doc_id, pos, license_id, s, n, l FROM ds JOIN ts USING (width, s) JOIN tn USING (license_id)),
 win AS (SELECT *, pos // l - o AS b FROM hit, (VALUES (0), (1)) v(o)),
 per AS (SELECT doc_id, license_id, b * l AS first_word, count(DISTINCT s) / any_value(n) AS c
         FROM win WHERE b >= 0 GROUP BY doc_id, license_id, b, l HAVING count(DISTINCT s) / any_value(n) >= {SHARE})

@@ -8,14 +8,14 @@ same words somewhere earlier. Steps, none of which sees all windows of a text at
    so has an anchor of its own). Only anchors met in two sequences, or twice in one, matter further.
 3. Windows of such anchors are counted by hash with the smallest id: recurring ones are confirmed. In
    the document of smallest id they line up to passages, cut into pieces of bounded length.
-4. Pieces are dealt to shards of bounded size. A document goes to the shards whose pieces share a window
+4. Pieces, not documents, are dealt to shards of bounded size. A document goes to the shards whose pieces share a window
    with it. In a task the pieces of a shard come first and are compiled into an Aho-Corasick automaton, over
    words, not letters; then the shard's documents stream through. A shard that many documents visit is
    compiled in several tasks. Every 20 words of a piece hold one of its 10-word phrases whole; hits are
    extended along the piece word by word, so nothing is decided by a hash.
 
-Edge cases: null and empty texts have no words. Null ids count as one document after all others. Rows
-that repeat an id count as one document for what is earlier; rows that repeat id and text are judged
+Edge cases: null and empty texts have no words. Texts with null ids are documents of their own after all others
+(ids are taken to be below 2**62), in the order of a hash of the text; equal ones are one. Rows that repeat an id count as one document for what is earlier; rows that repeat id and text are judged
 alike. Texts with fewer than 20 words keep all. Extra columns are ignored.
 """
 
@@ -39,7 +39,7 @@ PHRASE, PHRASE_STEP = 10, 11
 PIECE_WINDOWS = 256
 SHARD_WORDS = 60_000
 SHARD_VISITS = 2_000
-LAST = (1 << 63) - 1
+NULLS = 1 << 62  # documents without an id get numbers from here on
 LISTED_IDS = 500_000
 _U = np.uint64
 
@@ -58,8 +58,10 @@ def sha(kept: list[bytes]) -> str:
 
 
 def named(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-                       F.col("doc_id").isNull().alias("unnamed"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    own = F.xxhash64(text).bitwiseAND(NULLS - 1).bitwiseOR(F.lit(NULLS))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc"),
+                       F.col("doc_id").isNull().alias("unnamed"), text.alias("text"))
 
 
 def profile(docs: DataFrame) -> DataFrame:
@@ -231,12 +233,16 @@ class Automaton:
                 if owner == doc and begin == shift:
                     continue
                 low, high = max(0, shift), min(len(coded), shift + len(piece))
-                a = low
-                for b in range(low, high + 1):
-                    if b == high or coded[b] != piece[b - shift]:
-                        if b - a >= WINDOW:
-                            spans.add((a, b))
-                        a = b + 1
+                mine, other = coded[low:high], piece[low - shift:high - shift]
+                if mine == other:
+                    if high - low >= WINDOW:
+                        spans.add((low, high))
+                    continue
+                unlike = np.flatnonzero(np.frombuffer(mine.encode("utf-32-le"), np.uint32)
+                                        != np.frombuffer(other.encode("utf-32-le"), np.uint32))
+                a = np.append(0, unlike + 1)
+                b = np.append(unlike, high - low)
+                spans.update((low + x, low + y) for x, y in zip(a[b - a >= WINDOW].tolist(), b[b - a >= WINDOW].tolist()))
         return sorted(spans)
 
 
@@ -286,7 +292,7 @@ def find_spans(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = settle(known.where("n > 1").groupBy("doc").agg(F.collect_list("window").alias("windows")), "windows")
     pieces = settle(passages(texts.join(firsts, "doc")), "pieces")
     total = pieces.agg(F.sum(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)).first()[0] or 0
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(total // SHARD_WORDS + 1)))
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc", "begin"), F.lit(total // SHARD_WORDS + 1)))
     homes = pieces.select(F.explode("windows").alias("window"), "shard")
     routes = settle(windows.join(homes, "window").select("doc", "shard").distinct(), "routes")
     salts = settle(routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_VISITS).alias("salts")), "salts")

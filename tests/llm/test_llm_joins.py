@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from helpers import SF_DIR, WORD, awkward, docs, empty, lower, plain, prose, table, thue_morse
 from millrace.llm import decontaminate, licenses, ngram_join, phrases
@@ -89,7 +90,8 @@ def test_join_of_awkward_rows(spark):
 
 def brute_phrases(rows, size=20):
     first, out = {}, []
-    order = [(1 << 62 if d is None else d, WORD.findall(t or "")) for d, t in rows]
+    own = [(1 << 62) | (xxhash.xxh64((t or "").encode(), seed=42).intdigest() & (1 << 62) - 1) for _, t in rows]
+    order = [(n if d is None else d, WORD.findall(t or "")) for n, (d, t) in zip(own, rows)]
     for d, w in order:
         for i in range(len(w) - size + 1):
             key = tuple(w[i:i + size])
@@ -310,3 +312,14 @@ def test_copies_and_sets_of_their_own_go_no_further(spark):
     groups = told.select("k1", "k2", "doc_id", "copies", ngram_join.F.lit(146).alias("n_shingles"))
     left = {r["doc_id"] for r in ngram_join.shared_enough(frame, groups, 5, 80, 100).collect()}
     assert {*range(10), *range(100, 110)} <= left and len(left) < 40
+
+
+def test_a_long_repeated_document_is_dealt_to_many_shards(spark, monkeypatch):
+    """Its pieces meet in no single automaton, and texts without ids are documents of their own."""
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 2_000)
+    long_text = " ".join(f"w{i * 7919 % 30_011}" for i in range(30_000))
+    rows = [(1, long_text), (2, "a b " + long_text + " c"), (3, long_text[20_000:90_000]), (None, long_text), (None, prose(2, 50)),
+            (None, prose(2, 50) + " x")]
+    frame = docs(spark, [(d, t, None, None) for d, t in rows])
+    got = plain(phrases.dedup(frame))
+    assert sorted(got, key=str) == brute_phrases(rows)
