@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from millrace.session import settle
 
 HOT_PAIRS = 1 << 20
-MEMORY_SEGMENTS = 500_000  # per worker, each of LONG_SEGMENT characters at most
+MEMORY_SEGMENTS = 600_000  # per worker, each of LONG_SEGMENT characters at most
+KEPT_SEGMENTS = 200_000  # of a full memory, those that were met first, which are mostly the frequent ones
 LONG_SEGMENT = 64
 MERGE_PAIRS = 1 << 21
 DOCS_AT_ONCE = 256
@@ -101,6 +102,18 @@ class Aligner:
         self.first = np.zeros(1025, dtype=np.int64)  # of the segment's links in pairs
         self.pairs = np.zeros(4096, dtype=np.int64)
 
+    def _forget_late(self) -> None:
+        """Make room: keep the segments that were met first."""
+        kept = min(KEPT_SEGMENTS, MEMORY_SEGMENTS // 2, len(self.groups))
+        if self.first[kept] > 8 * MEMORY_SEGMENTS:
+            return self._forget()
+        self.index = {k: n for k, n in self.index.items() if n < kept}
+        self.bad = {n for n in self.bad if n < kept}
+        self.odd = {w for w in self.odd if len(w) <= 1 or w in self.index}
+        del self.groups[kept:]
+        self.stats, self.first = self.stats[:kept].copy(), self.first[:kept + 1].copy()
+        self.pairs = self.pairs[:self.first[kept]].copy()
+
     def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and end offsets of A and B for a text that begins with a space or a line feed; None if not given back."""
         source, spaced = text.encode(), text[0] == " "
@@ -192,7 +205,7 @@ class Aligner:
         """Numbers of the segments of each text; None if it has no tokens. They hold until the next call: memory is
         given back only then."""
         if len(self.index) > MEMORY_SEGMENTS or len(self.pairs) > 16 * MEMORY_SEGMENTS:
-            self._forget()
+            self._forget_late()
         cut = [self.cut(t) if t else None for t in texts]
         new = set().union(*(c for c in cut if c)).difference(self.index)
         if new:
