@@ -260,6 +260,11 @@ CTES["activity"] = """
       ON b.snap_ts = w.older.t AND b.label = w.older.l AND b.k = n.k
     GROUP BY ALL"""
 
+CTES["board_after"] = """
+    SELECT b.* REPLACE (coalesce(n.new, b.notes) AS notes) FROM board b LEFT JOIN (
+      SELECT row_no, arg_max(new, ord) AS new FROM update_cells WHERE field = 'notes' GROUP BY 1) n USING (row_no)"""
+CTES["taken_after"] = CTES["taken"].replace("FROM board", "FROM board_after")
+CTES["known_after"] = CTES["known"].replace("taken", "taken_after")
 CTES["live"] = fx.LIVE
 CTES["live_states"] = f"""
     SELECT row_no, {key('company', 'title')} AS k,
@@ -288,6 +293,7 @@ NEEDS = {
     "parsed": ["file_names"], "catalogue": ["parsed"], "snapshots": ["snap_times", "postings"],
     "reports": ["snap_times"], "activity_windows": ["reports"], "hour_windows": ["hours", "catalogue"],
     "states": ["snapshots"], "activity": ["activity_windows", "states"],
+    "board_after": ["board", "update_cells"], "taken_after": ["board_after"], "known_after": ["valid", "taken_after"],
     "live": ["postings"], "live_states": ["live"], "all_states": ["states", "live_states"],
     "live_windows": ["activity_windows"], "live_activity": ["live_windows", "all_states"],
 }
@@ -397,6 +403,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT ord, CASE WHEN trim(company) = '' OR trim(title) = '' THEN 'blank'
               WHEN {VALID} THEN '' ELSE 'bad_link' END AS problem FROM postings"""),
         "admit_existing": using("known", "SELECT ord, by_key FROM known"),
+        "token_lookup": using("known_after", "SELECT ord, by_key FROM known_after"),
         "admit_batch": using("admitted", "SELECT ord FROM admitted")
             .replace(duck_text(CTES["incoming"]), "SELECT * FROM postings")
             .replace("WHERE ord NOT IN (SELECT ord FROM known)", ""),

@@ -17,6 +17,7 @@ from millrace.plans.fixtures import (AS_OF, HOME, INTAKE_AT, INTAKE_DAYS, MESSAG
 from millrace.session import scratch_path, settle
 from millrace.sources import history, intents, ledger
 from millrace.sources.snapshots import parsed_names
+from millrace.sources.token_index import TokenIndex
 from millrace.sources.versions import Versions
 from millrace.streaming import intake
 
@@ -71,6 +72,18 @@ def admit_existing(x: Inputs) -> DataFrame:
     return admit.known_in_table(x.board(), x.incoming(), WORDS)
 
 
+def token_lookup(x: Inputs) -> DataFrame:
+    """admit_existing from a standing index, which has followed an update of the table."""
+    index = TokenIndex(x.spark, scratch_path(x.spark, "tokens"), WORDS).start(x.board())
+    hits, changes = _updated(x)
+    after = settle(merge.apply_changes(x.board(), changes, hits, AS_OF), "after")
+    rows = after.join(hits.select("row_no").distinct(), "row_no", "left_semi")
+    index.update(x.board().join(rows.select("row_no"), "row_no", "left_semi"), rows)
+    tokens = settle(admit.batch_tokens(x.incoming(), WORDS), "batch-tokens")
+    claims = index.holders(tokens).select("token").distinct()
+    return admit.known_in_table(after, x.incoming(), WORDS, claims=claims)
+
+
 def admit_batch(x: Inputs) -> DataFrame:
     valid = with_identity(admit.validate(x.postings()).where("problem is null"), WORDS)
     return admit.choose(valid.select("ord", "tokens")).select("ord")
@@ -370,7 +383,7 @@ def cycle_digest(x: Inputs) -> DataFrame:
 
 NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     table_scan, norm_profile, digit_ids, link_identity,
-    admit_validate, admit_existing, admit_batch, admit_outcomes, admit_refusals, admit_apply,
+    admit_validate, admit_existing, token_lookup, admit_batch, admit_outcomes, admit_refusals, admit_apply,
     priority_rank, row_class, domain_check,
     update_match, update_apply, flag_apply, audit_log,
     snapshot_catalog, snapshot_retention, baseline_asof, activity_counts, activity_report,
