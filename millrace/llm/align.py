@@ -40,6 +40,7 @@ KEPT_SEGMENTS = 200_000  # of a full memory, those that were met first, which ar
 LONG_SEGMENT = 64
 MERGE_PAIRS = 1 << 21
 DOCS_AT_ONCE = 256
+TOGETHER = 256  # segments encoded as one text
 SHIFT = 32  # a pair is A's id, shifted, plus B's
 _CUT = re.compile(r"(?<! )(?= \S)|(?<=\S)(?=\n\S)")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
@@ -170,8 +171,8 @@ class Aligner:
         whole = {k: k if k[0] in " \n" else " " + k for k in keys}
         alone = [k for k, t in whole.items() if len(t) > LONG_SEGMENT or t[1:].split() != [t[1:]]]
         rest = sorted(whole.keys() - set(alone))
-        for low in range(0, len(rest), 2_000):
-            some = rest[low:low + 2_000]
+        for low in range(0, len(rest), TOGETHER):
+            some = rest[low:low + TOGETHER]
             texts = [whole[k] for k in some]
             if not self._add(["x", *some], " x" + "".join(texts), 2 + np.cumsum([0, *(len(t.encode()) for t in texts)])):
                 alone += some

@@ -6,8 +6,8 @@ groups and pages are bounded, page indexes come with the format, so a reader of
 row groups and pages, and a reader of metadata never touches the ids. Ids use a dictionary per
 row group where it pays and delta packing otherwise; ids and counts are delta packed.
 
-A text is encoded in pieces cut before a space that a visible character follows; a byte-level BPE
-never joins over such a cut. Pieces that were met lately are not encoded again, which is most of them.
+A text is encoded in pieces cut before a space that a visible character follows, and before a line feed between
+two visible ones; a byte-level BPE never joins over such a cut. Pieces that were met lately are not encoded again, which is most of them.
 
 Edge cases: null text is empty, an empty text has the end id alone. Null ids come first. Rows that
 repeat an id stand side by side, in the order of their texts' hashes. Extra columns are ignored.
@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,73 +36,105 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 PART_CHARS = 8_000_000
-MEMORY_PIECES = 600_000
+MEMORY_PIECES = 800_000
 LONG_PIECE = 100
-_CUT = re.compile(r"(?= \S)")
+TOGETHER = 128  # pieces encoded as one text
+MARKS = ".,;:!?"
+_CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
 
 
 class Encoder:
     """Encodes texts with a tokenizer file. The ids of up to MEMORY_PIECES pieces are kept, found by the piece itself;
-    then it starts afresh."""
+    a full memory keeps the pieces that were met first, which are mostly the frequent ones."""
 
     def __init__(self, path: str, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
-        (self.stop,) = self._ids("\r")
-        self._forget()
-
-    def _forget(self) -> None:
+        known = self.library.get_vocab()
+        self.sizes = np.zeros(max(known.values()) + 1, dtype=np.int64)  # in bytes: a token has a character per byte
+        self.sizes[list(known.values())] = [len(t) for t in known]
         self.first: dict[str, bytes] = {"": b""}  # ids of pieces that begin a text
-        self.later: dict[str, bytes] = {}  # ids of pieces by what follows the space they begin with
-        self.odd: set[str] = set()  # words before which a text cannot be cut
+        # Ids of others, by what follows their space, or by all if there is none. False: a word after which, or before
+        # which, a text cannot be cut.
+        self.later: dict[str, bytes | bool] = {}
+        self.tails: dict[str, bytes] = {}  # ids of marks after a word, each at most LONG_PIECE characters
+        self.odd: dict[str, bytes] = {}  # ids of pieces that end in white space
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<i4")
-
-    def _encode(self, words: list[str]) -> None:
-        """Many pieces are encoded as one text: a carriage return between two is a token of its own if
-        the piece before it ends visibly and the next begins with a space. Others go one by one."""
-        plain = [w for w in words if not w[-1].isspace() and "\r" not in w]
-        for low in range(0, len(plain), 1_024):
-            some = plain[low:low + 1_024]
-            ids = self._ids("".join([f" {w}\r" for w in some]))
-            stops = np.flatnonzero(ids == self.stop)
-            for w, own in zip(some, np.split(ids, stops + 1)):
-                self.later[w] = own[:-1].tobytes()
-        for w in set(words).difference(plain):
-            self.later[w] = self._ids(" " + w).tobytes()
-
-    def _cut(self, text: str) -> list[str]:
-        """The pieces of a text: the first as it is, the others without the space they begin with."""
-        words = text.split(" ")
-        later = set(words[1:])
-        if self.odd.isdisjoint(later):
-            strange = [w for w in later.difference(self.later) if not w or w[0].isspace()]
-            if not strange:
-                return words
-            self.odd.update(w for w in strange if len(w) < 64)
-        pieces = _CUT.split(text)
-        return [pieces[0], *(p[1:] for p in pieces[1:])]
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
+
+    def _encode(self, keys: list[str]) -> None:
+        """Pieces whose only white space is their first character stand side by side in one text, which falls apart into
+        them again by the sizes of its tokens. Others go one by one."""
+        whole = {k: k if k[0] in " \n" else " " + k for k in keys}
+        plain = [k for k in keys if whole[k][1:].split() == [whole[k][1:]]]
+        for low in range(0, len(plain), TOGETHER):
+            some = plain[low:low + TOGETHER]
+            texts = [whole[k] for k in some]
+            ids = self._ids("x" + "".join(texts))
+            ends = np.cumsum(self.sizes[ids])
+            cuts = 1 + np.cumsum([0, *(len(t.encode()) for t in texts)])
+            at = np.searchsorted(ends, cuts)
+            if at[-1] < len(ends) and (ends[at] == cuts).all():
+                body, marks = ids.tobytes(), ((at + 1) * 4).tolist()
+                self.later.update(zip(some, [body[a:b] for a, b in zip(marks, marks[1:])]))
+        for k in keys:
+            if k not in self.later:
+                self.later[k] = self._ids(whole[k]).tobytes()
+
+    def _learn(self, keys: set[str]) -> None:
+        """A word and the marks after its last letter are never joined, so the word is encoded once for all its marks."""
+        cores = {k: c for k in keys if (c := k.rstrip(MARKS)) != k and len(k) <= LONG_PIECE and c[-1:].isalpha()}
+        self._encode(list(keys.difference(cores).union(cores.values()).difference(self.later)))
+        for k, c in cores.items():
+            tail = k[len(c):]
+            if tail not in self.tails:
+                self.tails[tail] = self._ids("x" + tail)[len(self._ids("x")):].tobytes()
+            self.later[k] = self.later[c] + self.tails[tail]
+
+    def _cut(self, text: str) -> tuple[list[str], list[bytes | bool | None]]:
+        """The first piece of a text as it is and the keys of the others, and what is known of each."""
+        words = text.replace("\n", " \n").split(" ")
+        known = list(map(self.later.get, words))
+        known[0] = self._first(words[0]) if words[0][-1:].strip() or not words[0] else False
+        if None in known:
+            strange = {w for w, k in zip(words, known) if k is None
+                       and (not w or (w[1:] if w[0] == "\n" else w)[:1].isspace() or w[-1].isspace())}
+            if strange:
+                self.later.update((w, False) for w in strange if len(w) <= LONG_PIECE)
+                known[0] = False
+        if False not in known:
+            return words, known
+        pieces = _CUT.split(text)  # this text is not cut at every space and line feed
+        keys = [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p for p in pieces[1:]]
+        return [pieces[0], *keys], [self._first(pieces[0]), *(self.odd.get(k) if k[-1].isspace() else self.later.get(k)
+                                                              for k in keys)]
+
+    def _first(self, piece: str) -> bytes:
+        if len(piece) > LONG_PIECE:
+            return self._ids(piece).tobytes()
+        if piece not in self.first:
+            self.first[piece] = self._ids(piece).tobytes()
+        return self.first[piece]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of 32 bits."""
-        if len(self.first) + len(self.later) > MEMORY_PIECES:
-            self._forget()
+        if len(self.first) + len(self.later) + len(self.odd) > MEMORY_PIECES:
+            self.first, self.odd = {"": b""}, {}
+            self.later = dict(islice(self.later.items(), MEMORY_PIECES // 3))
         cut = [self._cut(t) for t in texts]
-        new = set().union(*(c[1:] for c in cut)).difference(self.later)
-        if new:
-            self._encode(sorted(new))
-        for c in cut:
-            if c[0] not in self.first:
-                self.first[c[0]] = self._ids(c[0]).tobytes()
-        out = [self.first[c[0]] + b"".join(map(self.later.__getitem__, c[1:])) for c in cut]
-        for c in cut:  # what is long hardly comes again
-            for w in c:
-                if len(w) > LONG_PIECE:
-                    self.first.pop(w, None)
-                    self.later.pop(w, None)
+        new = {w for words, known in cut if None in known for w, k in zip(words, known) if k is None}
+        alone = {w for w in new if w[-1].isspace()}  # only a text that is cut otherwise has such pieces
+        self._learn(new - alone)
+        for w in alone:
+            self.odd[w] = self._ids(w if w[0] in " \n" else " " + w).tobytes()
+        out = [b"".join([k if k is not None else self.odd[w] if w in alone else self.later[w] for w, k in zip(words, known)])
+               if None in known else b"".join(known) for words, known in cut]
+        for w in [w for w in new if len(w) > LONG_PIECE]:  # what is long hardly comes again
+            self.later.pop(w, None)
+            self.odd.pop(w, None)
         return out
 
 
