@@ -85,6 +85,12 @@ def report_windows(reports: DataFrame, snaps: DataFrame, label: str | None = Non
         .select("report_ts", "w.*")
 
 
+def needed_by(reports: DataFrame, snaps: DataFrame, label: str | None = None) -> DataFrame:
+    """The snapshots (snap_ts, label) that the windows of some reports begin and end with."""
+    windows = report_windows(reports, snaps, label)
+    return windows.select(F.explode(F.array_compact(F.array("newer", "older", "shown"))).alias("s")).select("s.*").distinct()
+
+
 def window_label() -> Column:
     """The heading of a window, from report_ts and the snapshot it shows."""
     shown = F.col("shown.snap_ts")

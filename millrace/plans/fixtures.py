@@ -285,6 +285,16 @@ class Inputs:
         coded = F.translate(F.base64(F.encode("text", "UTF-8")), "+/", "-_")
         return both.select("message_id", "pos", "mime", coded.alias("data"))
 
+    def payloads(self) -> DataFrame:
+        """The parts of each message as one nested payload: part n lies 1 + n % 5 levels below a multipart of its own."""
+        leaf = F.to_json(F.struct(F.col("mime").alias("mimeType"), F.struct("data").alias("body")))
+        open_, close = '{"mimeType":"multipart/mixed","parts":[', "]}"
+        levels = (1 + F.col("pos") % 5).cast("int")
+        nested = F.concat(F.repeat(F.lit(open_), levels), leaf, F.repeat(F.lit(close), levels))
+        branches = F.array_sort(F.collect_list(F.struct("pos", nested.alias("branch"))))
+        return self.parts().groupBy("message_id").agg(F.concat(
+            F.lit(open_), F.array_join(F.transform(branches, lambda b: b["branch"]), ","), F.lit(close)).alias("payload"))
+
     @cache
     def documents_by_file(self) -> DataFrame:
         """Intent files (name, value): one per five hundred postings, with some broken ones."""

@@ -512,6 +512,12 @@ def oracle_sql() -> dict[str, str]:
         "mime_bodies": using("texts", """
             SELECT message_id, m.subject, m.sender, '' AS cc, md5(coalesce(t.plain, '')) AS plain_md5,
               md5(coalesce(t.html, '')) AS html_md5 FROM messages m LEFT JOIN texts t USING (message_id)"""),
+        "mime_tree": using("texts", """
+            SELECT message_id, CAST(3 + coalesce(sum(2 + pos % 5), 0) AS BIGINT) AS n_parts,
+              greatest(2, coalesce(max(2 + pos % 5), 0)) AS depth, md5(any_value(coalesce(t.plain, ''))) AS plain_md5,
+              md5(any_value(coalesce(t.html, ''))) AS html_md5
+            FROM messages m LEFT JOIN texts t USING (message_id) LEFT JOIN plain_parts p USING (message_id)
+            GROUP BY message_id"""),
         "link_harvest": using("texts", link_rows_sql()),
         "unknown_domains": using("texts", unknown_sql()),
         "source_liveness": using("messages", f"""
@@ -564,6 +570,10 @@ def oracle_sql() -> dict[str, str]:
         "ledger_stream": using("ledger", """
             SELECT DISTINCT thread_id FROM messages
             WHERE thread_id NOT IN (SELECT thread_id FROM ledger)"""),
+        "ledger_recent": using("messages", "SELECT DISTINCT thread_id FROM messages"),
+        "quiet_cycle": using("board", """
+            SELECT 0 AS added, 0 AS updated, 0 AS flagged, 0 AS warnings, count(*) AS n_rows,
+              CAST(sum(row_no) AS BIGINT) AS row_nos, 2 AS n_marks, count(*) AS n_kept FROM board"""),
         "ledger_entries": using("ledger", f"""
             SELECT thread_id, strftime(TIMESTAMP '{fx.AS_OF}', '%Y-%m-%dT%H:%M:%S') AS date_fetched,
               {TAG} AS source, CASE WHEN subject = '' THEN {lit(fv.DIGEST_NO_SUBJECT)} ELSE subject END AS subject,

@@ -262,6 +262,15 @@ def mime_bodies(x: Inputs) -> DataFrame:
         F.md5(present(F.col("html"))).alias("html_md5"))
 
 
+def mime_tree(x: Inputs) -> DataFrame:
+    """Bodies out of nested payloads, with the number of parts and the depth of each."""
+    parts = settle(extract.walked_parts(x.payloads()), "parts")
+    sizes = parts.groupBy("message_id").agg(F.count("*").alias("n_parts"), F.max("depth").alias("depth"))
+    return sizes.join(extract.bodies(parts), "message_id", "left").select(
+        "message_id", "n_parts", "depth", F.md5(present(F.col("plain"))).alias("plain_md5"),
+        F.md5(present(F.col("html"))).alias("html_md5"))
+
+
 def _texts(x: Inputs) -> DataFrame:
     return extract.bodies(x.parts()).select("message_id", extract.search_text(
         F.col("html"), F.col("plain")).alias("text"))
@@ -352,7 +361,15 @@ def ledger_stream(x: Inputs) -> DataFrame:
 def ledger_entries(x: Inputs) -> DataFrame:
     out, checkpoint = [scratch_path(x.spark, n) for n in ("entries", "offsets")]
     intake.entry_stream(_arriving(x), out, checkpoint, AS_OF, seed=x.ledger()).awaitTermination()
-    return ledger.read(x.spark, out)
+    return ledger.read(x.spark, f"{out}/entries")
+
+
+def ledger_recent(x: Inputs) -> DataFrame:
+    """Each thread once, with state that forgets threads after the delay."""
+    out, checkpoint = [scratch_path(x.spark, n) for n in ("recent", "offsets")]
+    stamped = _arriving(x).withColumn("sent_ts", F.col("sent_ts").cast("timestamp"))
+    intake.recent_ledger_stream(stamped, out, checkpoint).awaitTermination()
+    return x.spark.read.parquet(out).select("thread_id")
 
 
 def ledger_read(x: Inputs) -> DataFrame:
@@ -377,6 +394,18 @@ def intent_apply(x: Inputs) -> DataFrame:
                                      "updated", "priority")
 
 
+def quiet_cycle(x: Inputs) -> DataFrame:
+    """The digest of a cycle without files, and what the history and the table hold after it."""
+    versions = Versions(x.spark, scratch_path(x.spark, "versions")).start(x.board())
+    number = intake.quiet_cycle(x.spark, versions, WORDS, AS_OF, HOME)
+    rows = versions.read().agg(F.count("*").alias("n_rows"), F.sum("row_no").alias("row_nos"))
+    marks = intake.past(versions).catalogue().agg(F.count("*").alias("n_marks"))
+    kept = intake.past(versions).state().agg(F.count("*").alias("n_kept"))
+    digest = versions.side("digest").where(F.col("version") == number).select("added", "updated", "flagged", "warnings")
+    return digest.select("*", rows.select("n_rows").scalar().alias("n_rows"), rows.select("row_nos").scalar().alias("row_nos"),
+                         marks.scalar().alias("n_marks"), kept.scalar().alias("n_kept"))
+
+
 def cycle_digest(x: Inputs) -> DataFrame:
     return _applied(x).side("digest").drop("version")
 
@@ -388,9 +417,10 @@ NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     update_match, update_apply, flag_apply, audit_log,
     snapshot_catalog, snapshot_retention, baseline_asof, activity_counts, activity_report,
     history_states, activity_live,
-    message_intake, ledger_anti, mime_bodies, link_harvest, unknown_domains, source_liveness,
+    message_intake, ledger_anti, mime_bodies, mime_tree, link_harvest, unknown_domains, source_liveness,
     digest_render, html_text, line_kinds, text_direction,
-    intent_route, intent_explode, ledger_stream, ledger_entries, ledger_read, intent_apply, cycle_digest)}
+    intent_route, intent_explode, ledger_stream, ledger_recent, ledger_entries, ledger_read, intent_apply, quiet_cycle,
+    cycle_digest)}
 
 
 def whole_numbers(df: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import diff
 from millrace.operators.scan import FIELDS
+from millrace.session import settle
 
 # Year, month, day, hour and minute in front of the label.
 NAME = r"^(\d{1,4})-(\d{1,2})-(\d{1,2})-(\d{2})(\d{2}|\d(?=-|$))"
@@ -53,3 +55,22 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     fields = ", ".join(f"`{f}` string" for f in FIELDS)
     return (spark.read.schema(f"row_no long, {fields}, snap_ts string, label string")
             .parquet(folder).withColumn("snap_ts", F.col("snap_ts").cast("timestamp_ntz")))
+
+
+def prune(spark: SparkSession, folder: str, as_of, days: int, protected: DataFrame | None = None) -> DataFrame:
+    """Remove the partitions of snapshots older than the retention time and return their (snap_ts, label).
+
+    Only partition folders are listed and deleted; no row is read. `protected` (snap_ts, label) stays whatever its age: give it
+    the snapshots that open reports start from, see `diff.needed_by`. Removing again changes nothing.
+    """
+    old = diff.expired(read_snapshots(spark, folder), as_of, days).where("expired").select("snap_ts", "label")
+    if protected is not None:
+        old = old.join(protected.select("snap_ts", "label"), ["snap_ts", "label"], "left_anti")
+    old = settle(old, "expired")
+    path_of, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    files = path_of(folder).getFileSystem(conf)
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for row in old.toLocalIterator():
+        parts = (("snap_ts", str(row["snap_ts"])), ("label", row["label"]))
+        files.delete(path_of("/".join([folder.rstrip("/"), *(f"{k}={name.escapePathName(v)}" for k, v in parts)])), True)
+    return old

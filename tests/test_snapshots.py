@@ -112,3 +112,26 @@ def test_a_report_at_any_time_takes_the_last_state(spark):
     assert [str(r["newer"]["snap_ts"]) for r in rows] == ["2024-01-20 12:00:00"] * 2
     free = diff.report_windows(reports(spark, "2024-01-20T12:30"), s).where("window = 'week'").first()
     assert free["newer"]["label"] == "z"
+
+
+def test_pruning_keeps_what_reports_need(spark, tmp_path):
+    from millrace.operators.scan import read_records
+    folder = str(tmp_path / "set")
+    days = ["2024-01-01", "2024-01-02", "2024-01-09", "2024-01-10", "2024-01-20"]
+    for n, day in enumerate(days):
+        table = read_records(spark.createDataFrame([(i, "A", str(i), "📤 Applied" if i <= n else "") for i in range(6)],
+                                                   "row_no long, company string, title string, stage string"))
+        source.write_snapshot(table, folder, f"{day} 23:55:00", "baseline")
+    at = reports(spark, "2024-01-21T12:00", "2024-01-10T12:00")
+
+    def counts():
+        got = source.read_snapshots(spark, folder)
+        rows = diff.transition_counts(diff.report_windows(at, diff.catalogue(got)), got, WORDS)
+        return sorted(map(str, rows.collect()))
+
+    before = counts()
+    needed = diff.needed_by(at, diff.catalogue(source.read_snapshots(spark, folder)))
+    gone = [str(r["snap_ts"])[:10] for r in source.prune(spark, folder, "2024-01-21 12:00:00", 5, needed).collect()]
+    assert gone == ["2024-01-02"] and counts() == before
+    assert len(list((tmp_path / "set").glob("snap_ts=*"))) == 4
+    assert source.prune(spark, folder, "2024-01-21 12:00:00", 5, needed).count() == 0
