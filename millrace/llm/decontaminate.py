@@ -5,11 +5,11 @@ it must have one piece without an edit, so exact hits of pieces (an Aho-Corasick
 them) lead to every passage within the budget; Myers' bit-parallel distance decides. Text and items
 are lower-cased and their white space is one space.
 
-The benchmark is taken in blocks of bounded size, one scan of the documents each; nothing of the
-documents is shuffled.
+The benchmark is taken in blocks of bounded size, one scan of the documents each; what a block finds is written before the
+next one is taken.
 
-Edge cases: null or empty texts match nothing. Items shorter than MIN_CHARS (or null) are not searched:
-they would be found everywhere. Items longer than PART_CHARS are cut into parts, each searched on its own.
+Edge cases: null or empty texts match nothing, nor do null or empty items. Items shorter than MIN_CHARS have no edit
+to spare; they are found where they stand between characters that are no letters or digits. Items longer than PART_CHARS are cut into parts, each searched on its own.
 Repeated items and repeated rows are reported one by one. Extra columns are ignored or pass through.
 """
 
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import settle
+
 MIN_CHARS = 20
 PART_CHARS = 1_000
 CHARS_PER_EDIT = 20
@@ -37,12 +39,18 @@ def plain(text: str | None) -> str:
 def parts(text: str | None) -> list[str]:
     """An item's normal form, cut evenly into parts of at most PART_CHARS."""
     text = plain(text)
-    if len(text) < MIN_CHARS:
+    if not text:
         return []
     n = -(-len(text) // PART_CHARS)
     return [text[len(text) * i // n:len(text) * (i + 1) // n] for i in range(n)]
 
 
+def on_its_own(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] is no part of a longer word at either end."""
+    return not ((start and text[start - 1].isalnum() and text[start].isalnum())
+                or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()))
+
+
 class Pattern:
     """Myers' automaton of one part: a bit per character of the pattern."""
 
@@ -121,6 +129,11 @@ class Finder:
         found = []
         for n, starts in begins.items():
             key, part, pattern = self.patterns[n]
+            if pattern.length < MIN_CHARS:
+                whole = [s for s in starts if on_its_own(text, s, s + pattern.length)]
+                if whole:
+                    found.append((key, part, 0, min(whole), min(whole) + pattern.length))
+                continue
             best = None
             for low, high in self._regions(sorted(starts), pattern, len(text)):
                 distance, start, end = pattern.find(text[low:high])
@@ -175,20 +188,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return reduce(DataFrame.unionByName, (wanted.mapInArrow(scan(b), schema) for b in blocks(benchmark)))
+    # Each block's finds are written before the next block is taken: neither the driver nor a task holds two.
+    return reduce(DataFrame.unionByName, (settle(wanted.mapInArrow(scan(b), schema), "leaks") for b in blocks(benchmark)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no part of any item is found, all columns kept."""
-    at = docs.columns.index("text")
-
+    """The rows of docs in which no part of any item is found, all columns kept. Rows are known by two hashes of their
+    text, which alone decides."""
     def scan(items: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(items)
             for batch in batches:
-                yield batch.filter(pa.array([not finder(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.select([1, 2]).filter(pa.array([bool(finder(t)) for t in batch.column(0).to_pylist()], pa.bool_()))
         return run
 
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(scan(block), docs.schema)
-    return docs
+    taken = {c.lower() for c in docs.columns}
+    names = ["h1", "h2"]
+    while taken & set(names):
+        names = [n + "_" for n in names]
+    hashes = [F.xxhash64("text").alias(names[0]), F.xxhash64("text", F.lit(1)).alias(names[1])]
+    texts = docs.where("text IS NOT NULL").select("text", *hashes)
+    schema = ", ".join(f"{n} long" for n in names)
+    found = reduce(DataFrame.unionByName, (settle(texts.mapInArrow(scan(b), schema), "leaks") for b in blocks(benchmark)))
+    keyed = docs.select("*", *hashes)
+    return keyed.join(found.distinct(), names, "left_anti").select(docs.columns)

@@ -5,7 +5,7 @@ encoded with every dictionary, block by block, and the language whose dictionary
 bytes wins. A win by a narrow margin is rejected.
 
 Edge cases: a text that is null or has no letter is `und`, score 0, rejected. Ties go to the
-language first in code point order. Without any learned language every text is `und`. Repeated rows
+language with most labelled rows, then to the first in code point order. Without any learned language every text is `und`. Repeated rows
 are judged one by one; other columns pass through `classify` untouched, a column that has the name
 of an output column is replaced.
 """
@@ -24,7 +24,7 @@ from millrace.llm.common import held_out
 
 UNKNOWN = "und"
 SAMPLE_TEXTS = 300      # labelled texts taken per language
-PIECE_CHARS = 800       # of each of them, in the dictionary only
+PIECE_CHARS = 800       # of each of them, from a hashed place on, in the dictionary only
 BLOCK_BYTES = 4_096     # a text is encoded in blocks of this size
 SEARCH = {"strategy": zstandard.STRATEGY_GREEDY, "min_match": 3, "search_log": 3, "target_length": 8,
           "hash_log": 17, "chain_log": 17, "window_log": 19}
@@ -42,11 +42,12 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, piece: int = PIECE_CHARS)
     """
     known = learnable(docs).where(F.col("text").rlike(r"\p{L}"))
     low = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40))
-    short = known.select("lang", F.substring("text", 1, piece).alias("piece"), low.alias("h"))
+    spots = F.greatest(F.length("text") - piece, F.lit(0)) + 1
+    at = F.pmod(F.xxhash64("text", F.col("doc_id").cast("string")), spots).cast("int") + 1
+    short = known.select("lang", F.substring("text", at, F.lit(piece)).alias("piece"), low.alias("h"))
     share = F.least(F.lit(1.0), F.lit(4.0 * texts) / F.col("times"))
     counts = known.groupBy("lang").agg(F.count("*").alias("times"))
-    few = short.join(F.broadcast(counts), "lang").where(  # a row per language, each of which has a dictionary
-        F.col("h") <= share * (1 << 40))
+    few = short.join(counts, "lang").where(F.col("h") <= share * (1 << 40))
     order = Window.partitionBy("lang").orderBy("h", "piece")
     return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts)
 

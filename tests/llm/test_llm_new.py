@@ -308,3 +308,89 @@ def test_refinement_squares_the_error():
     x = whitening.refine(a, x)[0]
     x = whitening.refine(a, x)[0]
     assert before > 1e-7 and np.abs(a @ x - x * np.diag(x.T @ a @ x)).max() < 1e-11
+
+
+# --- operators that no SQL expresses, row by row
+
+
+def plain_statistics(text):
+    """The quality rules' statistics of one text in plain Python."""
+    import math
+
+    import regex
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, n = text.split("\n"), len(w)
+    share = lambda a, b: a / b if b else 0.0
+    blanks = len(re.findall(r"[ \t\n\x0B\f\r]", text))
+    return {"log_words": math.log1p(n), "word_chars": share(len(text) - blanks, n),
+            "symbols": share(len(re.findall(r"[#$%&*|<>=@^~{}\[\]\\_+]", text)), n),
+            "capitals": share(len(regex.findall(r"\p{Lu}{2,}", text)), n),
+            "digits": share(len(re.findall(r"[0-9]", text)), len(text)),
+            "ends": share(len(re.findall(r"[.!?](?=[ \t\n\x0B\f\r]|\Z)", text)), n), "shouts": share(text.count("!"), n),
+            "commas": share(text.count(","), n),
+            "initials": share(len(regex.findall(r"(?:^|[ \t\n\x0B\f\r])\p{Lu}", text)), n), "variety": share(len(set(w)), n),
+            "richness": share(len(set(w)), math.sqrt(n)), "line_variety": share(len(set(lines)), len(lines)),
+            "line_words": share(n, len(lines))}
+
+
+def test_quality_query_equals_a_plain_scorer(spark):
+    import math
+
+    from millrace.llm import quality
+    given = table(spark, "documents")
+    model = quality.fit(quality.statistics(given), table(spark, "labels"))
+    want = {}
+    for r in given.select("doc_id", "text").collect():
+        stats, total = plain_statistics(r["text"] or ""), model.bias
+        for rule, weight in model.weights.items():
+            total += weight * all(stats[name] <= at if most else stats[name] > at for name, most, at in rule)
+        want[r["doc_id"]] = 1 / (1 + math.exp(-total))
+    got = {r["doc_id"]: r for r in queries.op3_quality_rules(spark, SF_DIR).collect()}
+    assert got.keys() == want.keys() and len(model.weights) > 2
+    for d, score in want.items():
+        assert abs(got[d]["score"] - score) < 1e-9 and got[d]["predicted"] == (got[d]["score"] >= 0.7)
+
+
+def test_language_query_equals_a_plain_loop(spark):
+    import math
+
+    import zstandard
+
+    from millrace.llm import language
+    given = table(spark, "documents")
+    contents = language.dictionaries(given)
+    settings = zstandard.ZstdCompressionParameters(**language.SEARCH, write_content_size=False, write_checksum=False,
+                                                   write_dict_id=False)
+    got = {r["doc_id"]: r for r in queries.op10_language_id(spark, SF_DIR).collect()}
+    for r in given.collect():
+        text, told = r["text"], got[r["doc_id"]]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (told["lang_pred"], told["score"]) == ("und", 0.0)
+            continue
+        data, sizes = text.lower().encode(), {}
+        for lang, content in contents.items():
+            kept = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kept.precompute_compress(compression_params=settings)
+            coder = zstandard.ZstdCompressor(dict_data=kept, compression_params=settings)
+            sizes[lang] = sum(len(coder.compress(data[i:i + 4096])) for i in range(0, len(data), 4096))
+        low = min(sizes.values())
+        assert told["lang_pred"] == next(k for k, v in sizes.items() if v == low)
+        assert abs(told["score"] - 1 / sum(math.exp(-40 * (v - low) / low) for v in sizes.values())) < 1e-12
+
+
+def test_dictionaries_take_pieces_from_all_over_a_text(spark):
+    from millrace.llm import language
+    text = " ".join(f"w{i:05d}" for i in range(5000))
+    rows = [(i, f"t{i} {text}", "en", None) for i in range(40)]
+    body = language.dictionaries(docs(spark, rows))["en"].decode()
+    seen = sorted({int(w) for w in re.findall(r"w(\d{5})", body)})
+    assert seen[0] < 1500 and seen[-1] > 3500 and len(body) < 40 * 900
+
+
+def test_short_benchmark_items_are_found_on_their_own(spark):
+    from millrace.llm import decontaminate
+    items = spark.createDataFrame([(1, "answer: forty two!"), (2, "42"), (3, " "), (4, None), (5, "C++")], "item_id long, text string")
+    rows = [(1, "He said: Answer:  FORTY two! and left"), (2, "answer: forty two"), (3, "it is 42."), (4, "1428 or x42y"), (5, "c++11 c++"),
+            (6, "42"), (7, ""), (8, None)]
+    got = decontaminate.leaks(docs(spark, [(d, t, None, None) for d, t in rows]), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (3, 2), (6, 2), (5, 5)} and {r["distance"] for r in got} == {0}
