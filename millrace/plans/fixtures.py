@@ -159,6 +159,13 @@ FROM {postings} WHERE ts >= @split
 """
 
 # Threads taken in before.
+# A rule per site of the pages.
+SITE_RULES = """
+SELECT host AS source, replace(host, '.', '\\.') || '/(?:en|fr|de|es)/([0-9]+)' AS pattern,
+  'https://' || host || '/' || chr(123) || chr(125) AS template, host || '/' AS literal
+FROM (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM {pages}) h WHERE host <> ''
+"""
+
 LEDGER = "SELECT thread_id FROM {messages} WHERE url LIKE '%/en/%'"
 
 # Plain parts: every document goes to one message.
@@ -273,6 +280,11 @@ class Inputs:
     def messages(self) -> DataFrame:
         return with_heads(self._sql(MESSAGES, pages=self.spread("pages")))
 
+    def site_rules(self) -> DataFrame:
+        """Rules numbered by their source."""
+        rules = self._sql(SITE_RULES, pages=self.table("pages"))
+        return rules.withColumn("rule_no", F.xxhash64("source"))  # each source has one rule, so any number will do
+
     def ledger(self) -> DataFrame:
         return self._sql(LEDGER, messages=self.messages())
 

@@ -265,6 +265,7 @@ CTES["board_after"] = """
       SELECT row_no, arg_max(new, ord) AS new FROM update_cells WHERE field = 'notes' GROUP BY 1) n USING (row_no)"""
 CTES["taken_after"] = CTES["taken"].replace("FROM board", "FROM board_after")
 CTES["known_after"] = CTES["known"].replace("taken", "taken_after")
+CTES["site_rules"] = fx.SITE_RULES
 CTES["live"] = fx.LIVE
 CTES["live_states"] = f"""
     SELECT row_no, {key('company', 'title')} AS k,
@@ -519,6 +520,11 @@ def oracle_sql() -> dict[str, str]:
             FROM messages m LEFT JOIN texts t USING (message_id) LEFT JOIN plain_parts p USING (message_id)
             GROUP BY message_id"""),
         "link_harvest": using("texts", link_rows_sql()),
+        "link_harvest_sites": using("messages site_rules", """
+            SELECT DISTINCT message_id, source, job_id, replace(template, '{}', job_id) AS url
+            FROM (SELECT message_id, source, template,
+                unnest(regexp_extract_all(lower(url) || chr(10) || html, pattern, 1)) AS job_id
+              FROM messages JOIN site_rules ON contains(lower(url) || chr(10) || html, literal))"""),
         "unknown_domains": using("texts", unknown_sql()),
         "source_liveness": using("messages", f"""
             SELECT s.sender, count(m.message_id) AS n,

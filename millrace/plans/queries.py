@@ -11,7 +11,7 @@ from millrace import fixed_values as fv
 from millrace.functions.identity import link_reference, name_key, with_identity
 from millrace.functions.text import (line_kind, long_numbers, plain_name, present, script_counts,
                                      stop_words)
-from millrace.operators import admit, diff, extract, merge, rank, scan, sweep
+from millrace.operators import admit, diff, extract, link_rules, merge, rank, scan, sweep
 from millrace.plans.fixtures import (AS_OF, HOME, INTAKE_AT, INTAKE_DAYS, MESSAGES, PLACES,
                                      Inputs, with_heads)
 from millrace.session import scratch_path, settle
@@ -280,6 +280,12 @@ def link_harvest(x: Inputs) -> DataFrame:
     return extract.link_rows(_texts(x)).withColumn("pos", F.col("pos").cast("long"))
 
 
+def link_harvest_sites(x: Inputs) -> DataFrame:
+    """Links by a rule per site: which sites' pages each message names, its own address included."""
+    texts = x.messages().select("message_id", F.concat_ws("\n", F.lower("url"), "html").alias("text"))
+    return link_rules.link_rows(texts, x.site_rules()).select("message_id", "source", "job_id", "url")
+
+
 def unknown_domains(x: Inputs) -> DataFrame:
     return extract.domain_rows(_texts(x)).select("message_id", "domain", "n", "place")
 
@@ -417,7 +423,7 @@ NAMED: dict[str, Callable[[Inputs], DataFrame]] = {f.__name__: f for f in (
     update_match, update_apply, flag_apply, audit_log,
     snapshot_catalog, snapshot_retention, baseline_asof, activity_counts, activity_report,
     history_states, activity_live,
-    message_intake, ledger_anti, mime_bodies, mime_tree, link_harvest, unknown_domains, source_liveness,
+    message_intake, ledger_anti, mime_bodies, mime_tree, link_harvest, link_harvest_sites, unknown_domains, source_liveness,
     digest_render, html_text, line_kinds, text_direction,
     intent_route, intent_explode, ledger_stream, ledger_recent, ledger_entries, ledger_read, intent_apply, quiet_cycle,
     cycle_digest)}
