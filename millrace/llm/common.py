@@ -22,12 +22,19 @@ from millrace.session import settle
 WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
-MEMORY_WORDS = 400_000
+LONG_WORD = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
 
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=_U)  # masks of so many bytes
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A"):ord("Z") + 1] += 32
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables. Arrow batches are bounded in bytes: texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -49,20 +56,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, as found so far by this worker: keyed by the word's bytes, so that no two words share an
-    entry. blake2b has no structure that repetitive words could share. Long words are hashed each time."""
-
-    def __missing__(self, word: bytes) -> int:
-        told = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= MEMORY_WORDS:
-                self.clear()
-            self[word] = told
-        return told
-
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each byte range start:end of data.
 
-_hashes = WordHashes()
+    A word is the sum over its runs of eight bytes, each mixed with its place, and of its length. No run acts on
+    another and mixing is not linear, so repetitive words share nothing. Words over LONG_WORD bytes go through blake2b.
+    """
+    if not len(start):
+        return np.empty(0, dtype=_U)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each byte on
+    size = end - start
+    total = mix(size.astype(_U) * _U(_BASE))
+    at, words_left = start, None
+    for lane in range(LONG_WORD // 8):
+        if lane:
+            more = np.flatnonzero(size > 8 * lane) if words_left is None else words_left[size[words_left] > 8 * lane]
+            words_left = more
+            if not len(more):
+                break
+            at = start[more] + 8 * lane
+        left = (size if words_left is None else size[words_left]) - 8 * lane
+        run = eights[at] & _KEEP[np.minimum(left, 8)]
+        run = mix(run + _U((lane + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1))
+        if words_left is None:
+            total += run
+        else:
+            total[words_left] += run
+    total = mix(total)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        total[i] = int.from_bytes(blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return total
 
 
 class Words(NamedTuple):
@@ -72,7 +96,13 @@ class Words(NamedTuple):
     hi: int
     hashes: np.ndarray
     first: np.ndarray
-    found: list[bytes]
+    body: bytes
+    start: np.ndarray
+    end: np.ndarray
+
+    def joined(self, a: int, b: int) -> bytes:
+        """The words a to b - 1 with a space between any two."""
+        return b" ".join(self.body[self.start[a]:self.end[b - 1]].split()) if b > a else b""
 
 
 def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,15 +126,17 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 def words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
     """The words of each row with their hashes, chunk by chunk. lower: A-Z count as a-z."""
     for lo, hi, data, rows in text_chunks(texts):
-        body, found, first = data.tobytes(), [], [0]
         if lower:
-            body = body.lower()  # of bytes, this lowers A-Z only
-        at = rows.tolist()
-        for a, b in zip(at[:-1], at[1:]):
-            found += body[a:b].split()  # bytes split at 0x20 and 0x09 to 0x0D
-            first.append(len(found))
-        hashes = np.fromiter(map(_hashes.__getitem__, found), _U, len(found))
-        yield Words(lo, hi, hashes, np.array(first), found)
+            data = _LOWER[data]
+        inside = ~_BLANK[data]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        full = rows[1:] > rows[:-1]
+        begins[rows[:-1][full]] = inside[rows[:-1][full]]
+        ends[rows[1:][full] - 1] = inside[rows[1:][full] - 1]
+        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        yield Words(lo, hi, word_hashes(data, start, end), np.searchsorted(start, rows), data.tobytes(), start, end)
 
 
 _FACTORS = [int(x) | 1 for x in mix(np.arange(1000, 1064, dtype=_U) * _U(_BASE))]

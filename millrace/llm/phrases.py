@@ -72,7 +72,7 @@ def profile(docs: DataFrame) -> DataFrame:
             for c in words(batch.column(2)):
                 for i in range(c.hi - c.lo):
                     a, b = int(c.first[i]), int(c.first[i + 1])
-                    rows.append((b - a, *sequence_key(c.hashes[a:b]), sha(c.found[a:b])))
+                    rows.append((b - a, *sequence_key(c.hashes[a:b]), hashlib.sha256(c.joined(a, b)).hexdigest()))
             told = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(t, pa.int64()) for t in told[:3]),
@@ -181,7 +181,7 @@ def passages(firsts: DataFrame) -> DataFrame:
                         for k in range(0, len(line), PIECE_WINDOWS):
                             piece = line[k:k + PIECE_WINDOWS]
                             low, high = int(piece[0]), int(piece[-1]) + WINDOW
-                            rows.append((names[row].as_py(), low, b" ".join(c.found[a + low:a + high]).decode(),
+                            rows.append((names[row].as_py(), low, c.joined(a + low, a + high).decode(),
                                          here[piece].tolist()))
             told = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(

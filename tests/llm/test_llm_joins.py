@@ -51,7 +51,7 @@ def test_words_match_the_rule():
     texts = ["a b c", None, "", " x\ty\r\nz ", "A B c", "é ñ"]
     got = []
     for c in words(pa.array(texts)):
-        got += [[w.decode() for w in c.found[a:b]] for a, b in zip(c.first[:-1], c.first[1:])]
+        got += [[c.body[s:e].decode() for s, e in zip(c.start[a:b], c.end[a:b])] for a, b in zip(c.first[:-1], c.first[1:])]
     assert got == [WORD.findall(t or "") for t in texts]
 
 
@@ -323,3 +323,13 @@ def test_a_long_repeated_document_is_dealt_to_many_shards(spark, monkeypatch):
     frame = docs(spark, [(d, t, None, None) for d, t in rows])
     got = plain(phrases.dedup(frame))
     assert sorted(got, key=str) == brute_phrases(rows)
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(9)
+    found = {"".join(rng.choice("ab") for _ in range(n)) for n in range(1, 80) for _ in range(60)} | set(thue_morse()) | {
+        "a" * n for n in range(1, 200)} | {"ab" * n for n in range(1, 100)} | {"x\0", "x", "x\0\0", "\0"}
+    (chunk,) = words(pa.array([" ".join(sorted(found))]))
+    assert len(set(chunk.hashes.tolist())) == len(found)
+    again = np.concatenate([c.hashes for c in words(pa.array(sorted(found)))])
+    assert again.tolist() == chunk.hashes.tolist()  # wherever a word stands
