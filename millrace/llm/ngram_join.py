@@ -5,8 +5,8 @@ a share 1 - t of its own shingles with the other. So a set that has more shingle
 shingles of a hashed part of the domain, is similar to none and goes no further. That is an exact bound, not a sample of sets.
 
 The others are banded by size. Two sets of a band differ in at most k elements, k = (1 - t) / (1 + t) * 2 * (largest size
-of the band). The domain is hashed into n1 > k / 3 groups of five partitions. One group must hold at most two differences,
-so three of its partitions agree whole: each three partitions of each group are one signature. A set close to the next
+of the band). The domain is hashed into n1 > k / 2 groups of three partitions. One group must hold at most one difference,
+so two of its partitions agree whole: each two partitions of each group are one signature. A set close to the next
 band also signs there. Signatures of few elements say little, and empty ones nothing: a set drops those of fewer than m
 elements, m being the most that leaves it enough groups all of whose signatures have m or more. Of two similar sets,
 the one with the larger m has a group that agrees, so its signature there has m elements in both, and both keep it. No
@@ -37,7 +37,7 @@ from millrace.session import settle
 
 SHINGLE, NUM, DEN = 3, 90, 100
 BAND_GROWTH = 1.5
-PARTITIONS, DIFFERENCES = 5, 2  # of a group, and how many of its elements may differ
+PARTITIONS, DIFFERENCES = 3, 1  # of a group, and how many of its elements may differ
 SPARE_GROUPS = 10  # a spare group for each so many: they make room for dropping weak signatures
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 16, 512
 LISTED_IDS = 500_000  # ids of candidates up to this many are sent along as a list of 8 bytes each
@@ -203,7 +203,8 @@ def fetch_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 yield _set_batch(batch, rows, told)
 
     sets = wanted.mapInArrow(run, "doc_id long, k1 long, k2 long, values array<long>")
-    return sets.join(members, ["doc_id", "k1", "k2"]).dropDuplicates(["k1", "k2"])
+    mine = members.withColumnRenamed("doc_id", "own")  # one partitioning serves the join and the copies
+    return sets.join(mine, ["k1", "k2"]).where("doc_id = own").drop("own").dropDuplicates(["k1", "k2"])
 
 
 def _set_batch(batch: pa.RecordBatch, rows: list[int], told: list[tuple]) -> pa.RecordBatch:
