@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.text import bind
 from millrace.operators.skew import salted_join
 from millrace.session import settle
 
@@ -58,10 +59,14 @@ def _gram(literal: Column) -> Column:
     return F.substring(literal, 1, LONGEST_GRAM)
 
 
-def _grams(n: int) -> Column:
-    """All runs of n characters of text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1)))
-    return F.transform(places, lambda i: F.substring("text", i, F.lit(n)))
+def _grams(chars: Column, lengths: list[int]) -> Column:
+    """All runs of so many characters. Taken from the list of characters: a place in a string is only found by walking
+    there from its start, which would make the work grow with the square of a text's length."""
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.transform(places, lambda i: F.concat_ws("", *[F.get(chars, i + k) for k in range(n)]))
+
+    return F.concat(F.array(F.lit("")), *map(runs, lengths))
 
 
 def candidates(texts: DataFrame, key: str, rules: DataFrame) -> DataFrame:
@@ -70,9 +75,11 @@ def candidates(texts: DataFrame, key: str, rules: DataFrame) -> DataFrame:
     shelves = settle(filed.groupBy("gram").agg(F.collect_set(F.struct(*rules.columns)).alias("filed")), "shelves")
     lengths = [r["n"] for r in shelves.select(F.length("gram").alias("n")).distinct().collect() if r["n"]]
     known = shelves.agg(F.collect_set("gram").alias("all")).scalar()  # one small string per filed gram
-    held = F.array_intersect(F.concat(F.array(F.lit("")), *map(_grams, sorted(lengths))), F.col("all"))
-    asked = (texts.select(key, "text", known.alias("all")).select(key, "text", F.explode(held).alias("gram")))
-    met = salted_join(asked.select(key, "gram"), shelves, ["gram"], "inner", [key])
+    held = bind(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)), lambda chars: F.array_intersect(
+        _grams(chars, sorted(lengths)), F.col("all")))
+    # written once: the join counts its left side before it joins
+    asked = settle(texts.select(key, "text", known.alias("all")).select(key, F.explode(held).alias("gram")), "asked")
+    met = salted_join(asked, shelves, ["gram"], "inner", [key])
     pairs = met.select(key, F.inline("filed"))
     return pairs.join(texts.select(key, "text"), key).where(F.contains("text", F.col("literal")))
 

@@ -47,3 +47,14 @@ def test_few_expressions_run_and_all_links_are_found(spark):
     left = sorted(r["text"] for r in link_rules.unmatched(hrefs, table).collect())
     assert left == sorted({h for _, t in texts for h in t.split(" and ") if not any(re.search(p, h) for _, p, _ in rules)})
     assert link_rules.link_rows(frame.limit(0), table).count() == 0 and link_rules.link_rows(frame, table.limit(0)).count() == 0
+
+
+def test_work_grows_with_the_length_of_a_text_and_no_faster(spark):
+    from time import perf_counter
+    table = link_rules.rule_table(spark, [("a", r"site\.example/(\d+)", "https://a/{}"), ("b", r"😀é/(\d+)", "https://b/{}")])
+    text = "é😀 " * 150_000 + "site.example/7 😀é/8"
+    frame = spark.createDataFrame([(1, text), (2, "sit"), (3, None), (4, "😀é/9")], "message_id long, text string")
+    start = perf_counter()
+    got = sorted((r["message_id"], r["url"]) for r in link_rules.link_rows(frame, table).collect())
+    assert got == [(1, "https://a/7"), (1, "https://b/8"), (4, "https://b/9")]
+    assert perf_counter() - start < 60
