@@ -354,7 +354,8 @@ def intent_explode(x: Inputs) -> DataFrame:
 def _arriving(x: Inputs) -> DataFrame:
     """The page table itself as a stream of messages."""
     schema = x.table("pages").schema
-    pages = x.spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(x.dir)
+    # a pattern, as a stream takes no path of a single file; it fits a file and a folder of files alike
+    pages = x.spark.readStream.schema(schema).parquet(f"{x.dir}/page[s].parquet")
     return with_heads(x.spark.sql(MESSAGES, pages=pages))
 
 

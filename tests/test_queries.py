@@ -38,3 +38,20 @@ def test_stream_result_equals_batch_result(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["outcome", "n"]
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_messages_arrive_from_a_file_and_from_a_folder_of_files(spark, tmp_path, folder):
+    pages = spark.createDataFrame([(n, f"http://a.example/{n % 3 and 'de' or 'en'}/{n}", "<p>x</p>") for n in range(12)],
+                                  "page_id long, url string, html string").repartition(3)
+    out = tmp_path / "pages.parquet"
+    if folder:
+        pages.write.parquet(str(out))
+    else:
+        pages.coalesce(1).write.parquet(str(tmp_path / "one"))
+        next((tmp_path / "one").glob("part-*.parquet")).rename(out)
+    left = {f"thread-{n:08d}" for n in (4, 10)}
+    for name in ("ledger_stream", "ledger_entries"):
+        assert {r["thread_id"] for r in QUERIES[name](spark, str(tmp_path)).select("thread_id").collect()} == left
+    recent = QUERIES["ledger_recent"](spark, str(tmp_path))
+    assert {r["thread_id"] for r in recent.collect()} == {f"thread-{n:08d}" for n in range(0, 12, 2)}
