@@ -55,3 +55,12 @@ def test_messages_arrive_from_a_file_and_from_a_folder_of_files(spark, tmp_path,
         assert {r["thread_id"] for r in QUERIES[name](spark, str(tmp_path)).select("thread_id").collect()} == left
     recent = QUERIES["ledger_recent"](spark, str(tmp_path))
     assert {r["thread_id"] for r in recent.collect()} == {f"thread-{n:08d}" for n in range(0, 12, 2)}
+
+
+def test_intent_files_are_written_by_all_tasks(spark):
+    from pathlib import Path
+
+    from millrace.plans.fixtures import Inputs
+    files = list(Path(Inputs(spark, "/root/testdata/sf0.01").outbox()).glob("name=*/part-*"))
+    assert len(files) > 60 and len({f.parent for f in files}) == len(files)
+    assert len({f.name[:10] for f in files}) >= 6
