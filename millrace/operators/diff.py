@@ -138,19 +138,20 @@ def transition_counts(windows: DataFrame, snapshots: DataFrame,
     windows = settle(up_to_now(settle(windows, "windows"), snapshots), "windows")
     real = windows.where("newer is not null and older is not null")
     snaps = real.select("newer.*").union(real.select("older.*")).distinct()
-    states = settle(folded_states(snapshots, snaps, ignored), "states")
-    ends = real.select("report_ts", "window", "newer", "older")
-    newer = (states.join(ends, states["snap"] == ends["newer"])
-             .select("report_ts", "window", "name_key", "bits", "n"))
-    lasts = states.groupBy("snap", "name_key").agg(F.max_by("bits", "last_row").alias("old_bits"))
-    older = (lasts.join(ends, lasts["snap"] == ends["older"])
-             .select("report_ts", "window", "name_key", "old_bits"))
-    pairs = newer.join(older, ["report_ts", "window", "name_key"], "left")
+    # Dealt by key once: a key has at most sixteen rows per snapshot here. All that follows up to the counts stays where it is.
+    states = folded_states(snapshots, snaps, ignored).repartition("name_key")
+    ends = real.select("report_ts", "window", F.explode(F.array(
+        F.struct(F.col("newer").alias("snap"), F.lit(True).alias("is_newer")),
+        F.struct(F.col("older").alias("snap"), F.lit(False).alias("is_newer")))).alias("e")).select("report_ts", "window", "e.*")
+    new, old = F.col("is_newer"), ~F.col("is_newer")
+    has = lambda bit: F.col("bits").bitwiseAND(bit) != 0
+    pairs = states.join(ends, "snap").groupBy("name_key", "report_ts", "window").agg(
+        F.max_by("bits", F.when(old, F.col("last_row"))).alias("old_bits"), F.sum(F.when(new, F.col("n")).otherwise(0)).alias("n"),
+        *[F.sum(F.when(new & has(bit), F.col("n")).otherwise(0)).alias(f"n{bit}") for bit in (1, 2, 4, 8)])
 
     def gained(bit: int) -> Column:
-        new = F.col("bits").bitwiseAND(bit) != 0
         had = F.coalesce(F.col("old_bits"), F.lit(0)).bitwiseAND(bit) != 0
-        return F.sum(F.when(new & ~had, F.col("n")).otherwise(0))
+        return F.sum(F.when(~had, F.col(f"n{bit}")).otherwise(0))
 
     counts = pairs.groupBy("report_ts", "window").agg(
         F.sum(F.when(F.col("old_bits").isNull(), F.col("n")).otherwise(0)).alias("new"),

@@ -135,3 +135,17 @@ def test_pruning_keeps_what_reports_need(spark, tmp_path):
     assert gone == ["2024-01-02"] and counts() == before
     assert len(list((tmp_path / "set").glob("snap_ts=*"))) == 4
     assert source.prune(spark, folder, "2024-01-21 12:00:00", 5, needed).count() == 0
+
+
+def test_states_are_dealt_by_key_once_and_never_joined(spark):
+    rows = [(t, "baseline", n, "A", str(n % 2), "", "📤 Applied" if t > "2024-01-03" and n else "")
+            for t in ("2024-01-02 23:55:00", "2024-01-09 23:55:00") for n in range(4 if t < "2024-01-03" else 5)]
+    snaps = spark.createDataFrame(rows, "t string, label string, row_no long, company string, title string, move string, stage string")
+    snaps = snaps.withColumn("snap_ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    windows = diff.report_windows(reports(spark, "2024-01-10T12:00"), diff.catalogue(snaps))
+    counts = diff.transition_counts(windows, snaps, WORDS)
+    got = {r["window"]: (r["new"], r["cv"]) for r in counts.collect()}
+    assert set(got.values()) == {(0, 4)}
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "name_key" in x]
+    assert len(dealt) == 2 and not any("SortMergeJoin" in x and "name_key" in x for x in plan.splitlines())
