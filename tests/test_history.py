@@ -92,3 +92,10 @@ def test_recorded_states_come_back(spark, tmp_path):
     spark.range(1).select(F.lit(9).cast("long").alias("row_no"), *[F.lit("").alias(f) for f in FIELDS], F.lit(False).alias("gone"),
                           at("2024-01-07 00:00:00", "cut short").alias("at")).write.parquet(str(tmp_path / "h/events/broken"))
     assert whole(kept.state()) == whole(second)  # a snapshot counts once it is in the catalogue
+
+
+def test_copies_of_a_history_are_built_once(spark):
+    from millrace.plans.fixtures import Inputs
+    from millrace.plans.queries import _history
+    read = _history(Inputs(spark, "/root/testdata/sf0.001")).inputFiles()
+    assert read and not any("/root/testdata" in f for f in read)
