@@ -8,8 +8,8 @@ same words somewhere earlier. Steps, none of which sees all windows of a text at
    so has an anchor of its own). Only anchors met in two sequences, or twice in one, matter further.
 3. Windows of such anchors are counted by hash with the smallest id: recurring ones are confirmed. In
    the document of smallest id they line up to passages, cut into pieces of bounded length.
-4. Pieces, not documents, are dealt to shards of bounded size. A document goes to the shards whose pieces share a window
-   with it. In a task the pieces of a shard come first and are compiled into an Aho-Corasick automaton, over
+4. Pieces, not documents, are dealt to shards of bounded size. Of a document, each shard gets the words from the first to the
+   last window that its pieces share with it; a window that is met only at its first place calls for nothing. In a task the pieces of a shard come first and are compiled into an Aho-Corasick automaton, over
    words, not letters; then the shard's documents stream through. A shard that many documents visit is
    compiled in several tasks. Every 20 words of a piece hold one of its 10-word phrases whole; hits are
    extended along the piece word by word, so nothing is decided by a hash.
@@ -148,20 +148,27 @@ def anchor_places(docs: DataFrame) -> DataFrame:
 
 
 def recurring_windows(texts: DataFrame) -> DataFrame:
-    """(window, doc, n) of the windows of texts (doc, text, ats) whose anchor starts at one of ats."""
+    """(window, doc, n, low, high) of the windows of texts (doc, text, ats) whose anchor starts at one of ats: how often
+    each is met and where it is met first and last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(0).to_numpy()
             for c in words(batch.column(1)):
-                out = [[], [], []]
+                out = [[], [], [], [], []]
                 for row, starts, _, own in row_anchors(c):
                     ats = batch.column(2)[row].values.to_numpy(zero_copy_only=False)
-                    kinds, times = np.unique(runs(own, WINDOW)[np.isin(starts, ats)], return_counts=True)
-                    for column, values in zip(out, (signed(kinds), np.full(len(kinds), names[row]), times)):
+                    at = np.flatnonzero(np.isin(starts, ats))
+                    here = runs(own, WINDOW)[at]
+                    order = np.argsort(here, kind="stable")
+                    first = np.flatnonzero(np.append(True, np.diff(here[order]) != 0))[:len(here)]
+                    last = np.append(first[1:], len(here))[:len(first)] - 1
+                    for column, values in zip(out, (signed(here[order[first]]), np.full(len(first), names[row]),
+                                                    last - first + 1, at[order[first]], at[order[last]])):
                         column.append(values)
-                yield _flat(out, ["window", "doc", "n"])
+                yield _flat(out, ["window", "doc", "n", "low", "high"])
 
-    return texts.select("doc", "text", "ats").mapInArrow(run, "window long, doc long, n long")
+    return texts.select("doc", "text", "ats").mapInArrow(
+        run, "window long, doc long, n long, low long, high long")
 
 
 def passages(firsts: DataFrame) -> DataFrame:
@@ -216,8 +223,9 @@ class Automaton:
             self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
         return self.letters[word]
 
-    def spans(self, doc: int, found: list[bytes]) -> list[tuple[int, int]]:
-        """Word ranges [a, b) of a document that lie in a piece, its own first place excepted."""
+    def spans(self, doc: int, found: list[bytes], skipped: int = 0) -> list[tuple[int, int]]:
+        """Word ranges [a, b) of a document that lie in a piece, its own first place excepted. found: its words without the
+        first `skipped` ones and perhaps the last ones."""
         if not self.pieces:
             return []
         get = self.letters.get
@@ -230,7 +238,7 @@ class Automaton:
                     continue
                 seen.add((n, shift))
                 owner, begin, piece = self.pieces[n]
-                if owner == doc and begin == shift:
+                if owner == doc and begin == shift + skipped:
                     continue
                 low, high = max(0, shift), min(len(coded), shift + len(piece))
                 mine, other = coded[low:high], piece[low - shift:high - shift]
@@ -243,17 +251,33 @@ class Automaton:
                 a = np.append(0, unlike + 1)
                 b = np.append(unlike, high - low)
                 spans.update((low + x, low + y) for x, y in zip(a[b - a >= WINDOW].tolist(), b[b - a >= WINDOW].tolist()))
-        return sorted(spans)
+        return sorted((a + skipped, b + skipped) for a, b in spans)
+
+
+def cut_out(texts: DataFrame) -> DataFrame:
+    """(shard, salt, kind, doc, begin, skipped, text): from rows (doc, k1, text, routes), the words that each route names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, k1, text, routes in zip(*(x.to_pylist() for x in batch.columns)):
+                found = text.encode().split()
+                rows = [(r["shard"], r["salt"], 1, doc, k1, r["low"], b" ".join(found[r["low"]:r["high"] + WINDOW]).decode())
+                        for r in routes]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+
+    schema = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("kind", pa.int32()), ("doc", pa.int64()),
+                        ("begin", pa.int64()), ("skipped", pa.int64()), ("text", pa.string())])
+    return texts.select("doc", "k1", "text", "routes").mapInArrow(
+        run, "shard long, salt long, kind int, doc long, begin long, skipped long, text string")
 
 
 def located(shards: DataFrame) -> DataFrame:
-    """(doc, k1, spans): from rows (shard, salt, kind, doc, begin, text), a shard's pieces (kind 0) before its
+    """(doc, k1, spans): from rows (shard, salt, kind, doc, begin, skipped, text), a shard's pieces (kind 0) before its
     documents (kind 1) in the same task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pieces, automaton = None, [], None
         for batch in batches:
             rows = []
-            for shard, salt, kind, doc, begin, text in zip(*(x.to_pylist() for x in batch.columns)):
+            for shard, salt, kind, doc, begin, skipped, text in zip(*(x.to_pylist() for x in batch.columns)):
                 if (shard, salt) != now:
                     now, pieces, automaton = (shard, salt), [], None
                 if not kind:
@@ -261,7 +285,7 @@ def located(shards: DataFrame) -> DataFrame:
                     continue
                 if automaton is None:
                     automaton = Automaton(pieces)
-                spans = automaton.spans(doc, text.encode().split())
+                spans = automaton.spans(doc, text.encode().split(), skipped)
                 if spans:
                     rows.append((doc, begin, [s[0] for s in spans], [s[1] for s in spans]))
             told = list(zip(*rows)) or [[]] * 4
@@ -293,14 +317,18 @@ def find_spans(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     pieces = settle(passages(texts.join(firsts, "doc")), "pieces")
     total = pieces.agg(F.sum(F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1)).first()[0] or 0
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc", "begin"), F.lit(total // SHARD_WORDS + 1)))
-    homes = pieces.select(F.explode("windows").alias("window"), "shard")
-    routes = settle(windows.join(homes, "window").select("doc", "shard").distinct(), "routes")
+    homes = pieces.select(F.explode("windows").alias("window"), "shard", F.col("doc").alias("owner"))
+    met = windows.join(homes, "window").groupBy("window", "doc", "shard").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("owner").alias("owner"))
+    routes = settle(met.where("doc <> owner OR n > 1").groupBy("doc", "shard").agg(
+        F.min("low").alias("low"), F.max("high").alias("high")), "routes")
     salts = settle(routes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_VISITS).alias("salts")), "salts")
     ready = (pieces.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-             .select("shard", "salt", F.lit(0).alias("kind"), "doc", F.col("begin"), F.col("phrase").alias("text")))
-    visits = (routes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "shard"), F.col("salts")))
-              .join(texts.select("doc", "k1", "text"), "doc")
-              .select("shard", "salt", F.lit(1).alias("kind"), "doc", F.col("k1").alias("begin"), "text"))
+             .select("shard", "salt", F.lit(0).alias("kind"), "doc", F.col("begin"), F.lit(0).cast("long").alias("skipped"),
+                     F.col("phrase").alias("text")))
+    dealt = routes.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "shard"), F.col("salts")))
+    visits = cut_out(texts.select("doc", "k1", "text").join(
+        dealt.groupBy("doc").agg(F.collect_list(F.struct("shard", "salt", "low", "high")).alias("routes")), "doc"))
     streams = ready.unionByName(visits).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     return texts, settle(located(streams), "spans")
 

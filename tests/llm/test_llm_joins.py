@@ -333,3 +333,19 @@ def test_word_hashes_tell_words_apart():
     assert len(set(chunk.hashes.tolist())) == len(found)
     again = np.concatenate([c.hashes for c in words(pa.array(sorted(found)))])
     assert again.tolist() == chunk.hashes.tolist()  # wherever a word stands
+
+
+def test_a_shard_gets_shared_words_only(spark, monkeypatch):
+    line = " ".join(f"shared{i}" for i in range(30))
+    rows = [(d, " ".join(f"w{d}x{i}" for i in range(3000)) + " " + line + " " + " ".join(f"v{d}x{i}" for i in range(3000)))
+            for d in (1, 2, 3)] + [(4, f"{line} {line}")]
+    sent, located = [], phrases.located
+
+    def spy(streams):
+        sent.extend(len(r["text"].split()) for r in streams.where("kind = 1").collect())
+        return located(streams)
+
+    monkeypatch.setattr(phrases, "located", spy)
+    got = plain(phrases.dedup(docs(spark, [(d, t, None, None) for d, t in rows])))
+    assert sorted(got) == brute_phrases(rows)
+    assert sorted(sent) == [30, 30, 60]
