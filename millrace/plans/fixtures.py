@@ -179,6 +179,11 @@ def spark_text(text: str) -> str:
     return (text.replace("@split", f"TIMESTAMP_NTZ '{SPLIT}'").replace("@days", DAYS))
 
 
+def coded(text: Column) -> Column:
+    """The URL-safe base64 code of a text."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+
+
 def with_heads(messages: DataFrame) -> DataFrame:
     """Messages with their time and headers."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -289,23 +294,32 @@ class Inputs:
         return self._sql(LEDGER, messages=self.messages())
 
     @cache
-    def parts(self) -> DataFrame:
+    def _texts(self) -> DataFrame:
+        """The parts of each message as texts."""
         plain = self._sql(PLAIN_PARTS, pages=self.table("pages"), documents=self.spread("documents"))
-        both = (self.messages().select("message_id", F.lit(0).cast("long").alias("pos"),
+        return (self.messages().select("message_id", F.lit(0).cast("long").alias("pos"),
                                        F.lit("text/html").alias("mime"), F.col("html").alias("text"))
                 .unionByName(plain.withColumn("mime", F.lit("text/plain"))))
-        coded = F.translate(F.base64(F.encode("text", "UTF-8")), "+/", "-_")
-        return both.select("message_id", "pos", "mime", coded.alias("data"))
+
+    @cache
+    def parts(self) -> DataFrame:
+        return self._texts().select("message_id", "pos", "mime", coded(F.col("text")).alias("data"))
 
     def payloads(self) -> DataFrame:
-        """The parts of each message as one nested payload: part n lies 1 + n % 5 levels below a multipart of its own."""
-        leaf = F.to_json(F.struct(F.col("mime").alias("mimeType"), F.struct("data").alias("body")))
+        """The parts of each message as one nested payload: part n lies 1 + n % 5 levels below a multipart of its own.
+
+        Texts are gathered as they are and coded after that: they are shorter and, unlike their codes, compress well.
+        """
         open_, close = '{"mimeType":"multipart/mixed","parts":[', "]}"
-        levels = (1 + F.col("pos") % 5).cast("int")
-        nested = F.concat(F.repeat(F.lit(open_), levels), leaf, F.repeat(F.lit(close), levels))
-        branches = F.array_sort(F.collect_list(F.struct("pos", nested.alias("branch"))))
-        return self.parts().groupBy("message_id").agg(F.concat(
-            F.lit(open_), F.array_join(F.transform(branches, lambda b: b["branch"]), ","), F.lit(close)).alias("payload"))
+
+        def branch(part: Column) -> Column:
+            leaf = F.to_json(F.struct(part["mime"].alias("mimeType"), F.struct(coded(part["text"]).alias("data")).alias("body")))
+            levels = (1 + part["pos"] % 5).cast("int")
+            return F.concat(F.repeat(F.lit(open_), levels), leaf, F.repeat(F.lit(close), levels))
+
+        parts = F.array_sort(F.collect_list(F.struct("pos", "mime", "text")))
+        return self._texts().groupBy("message_id").agg(parts.alias("parts")).select("message_id", F.concat(
+            F.lit(open_), F.array_join(F.transform("parts", branch), ","), F.lit(close)).alias("payload"))
 
     @cache
     def documents_by_file(self) -> DataFrame:
