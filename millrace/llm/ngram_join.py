@@ -14,7 +14,8 @@ similar pair can miss.
 
 The smallest and largest set of each signature combine before the shuffle, members are tied to the smallest one, ties give
 clusters of candidates, and clusters are verified in pairs of blocks of bounded size, spread evenly. A pair of blocks
-returns one row per set, not per pair: a root inside the pair and its number of links.
+returns one row per set, not per pair: a root inside the pair and its number of links. Signatures and sets are told from the
+texts when they are needed: only sets that are in a cluster are moved, once, to their block.
 
 Edge cases: a text with fewer words than a shingle has is one shingle; null texts and texts without
 words are empty and linked with nothing. Null ids get a null class. Rows that repeat an id are
@@ -158,23 +159,39 @@ def shared_enough(docs: DataFrame, groups: DataFrame, width: int, num: int, den:
             .select(groups.columns))
 
 
-def signed_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, node): every signature of every set, named by its first hash."""
+def representatives(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows whose id represents a member; another text under such an id is among them."""
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .join(listed(members.select("doc_id").distinct()), "doc_id", "left_semi"))
+
+
+def signed_sets(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(sig, node): every signature of the set of every representative, named by its first hash."""
+    def told(own: list[np.ndarray], names: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(own)), pa.array(np.repeat(names, [len(x) for x in own]))], ["sig", "node"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                names = batch.column(0).slice(low, 256).to_numpy()
-                lists = batch.column(1).slice(low, 256)
-                own = [signed(signatures(lists[i].values.to_numpy().view(_U), num, den)) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(own)), pa.array(np.repeat(names, [len(x) for x in own]))], ["sig", "node"])
+            own, names, held = [], [], 0
+            for _, values in row_sets(batch.column(0), width):
+                if not len(values):
+                    continue
+                own.append(signed(signatures(values, num, den)))
+                names.append(_key(values)[0])
+                held += len(own[-1])
+                if held > 1 << 18:
+                    yield told(own, names)
+                    own, names, held = [], [], 0
+            if own:
+                yield told(own, names)
 
-    return sets.select("k1", "values").mapInArrow(run, "sig long, node long")
+    return representatives(docs, members).select("text").mapInArrow(run, "sig long, node long")
 
 
-def candidate_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
+def candidate_clusters(docs: DataFrame, members: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(node, cluster): sets that share signatures, directly or over others."""
-    sigs = signed_sets(sets, num, den)
+    sigs = settle(signed_sets(docs, members, width, num, den), "signatures")
     leaders = settle(sigs.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
                      .where("leader < last").select("sig", "leader"), "leaders")
     ties = settle(sigs.join(leaders, "sig").where("node <> leader")
@@ -184,11 +201,20 @@ def candidate_clusters(sets: DataFrame, num: int, den: int) -> DataFrame:
     return settle(rest.unionByName(roots).withColumnRenamed("root", "cluster"), "clusters")
 
 
-def fetch_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """members with their sets. Only documents that represent a candidate leave the scan."""
-    wanted = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-              .join(listed(members.select("doc_id").distinct()), "doc_id", "left_semi"))
+def places(members: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The members that are in a cluster with their block, one of n. No sets are needed to deal them."""
+    inside = members.join(clusters.withColumnRenamed("node", "k1"), "k1")
+    room = inside.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("n"))
+    return settle(
+        inside.join(settle(room, "room"), "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("n")).cast("int"))
+        .select("doc_id", "k1", "k2", "copies", "cluster", "block", "n"), "places")
+
 
+def fetch_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """members with their sets, all of a cluster and block in one task. Only documents that represent a member leave the
+    scan, and each set is moved once, to its block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             told, rows, held = [], [], 0
@@ -202,9 +228,9 @@ def fetch_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             if rows:
                 yield _set_batch(batch, rows, told)
 
-    sets = wanted.mapInArrow(run, "doc_id long, k1 long, k2 long, values array<long>")
-    mine = members.withColumnRenamed("doc_id", "own")  # one partitioning serves the join and the copies
-    return sets.join(mine, ["k1", "k2"]).where("doc_id = own").drop("own").dropDuplicates(["k1", "k2"])
+    sets = representatives(docs, members).mapInArrow(run, "doc_id long, k1 long, k2 long, values array<long>")
+    return (sets.join(listed(members, LISTED_IDS // 4), ["doc_id", "k1", "k2"]).repartition("cluster", "block")
+            .dropDuplicates(["cluster", "block", "k1", "k2"]))
 
 
 def _set_batch(batch: pa.RecordBatch, rows: list[int], told: list[tuple]) -> pa.RecordBatch:
@@ -262,21 +288,16 @@ def block_links(ids: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], lef
 
 
 def verified(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root, n_links) rows of verified links from members with cluster, k1, k2, copies and values."""
-    room = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum(F.size("values")) / BLOCK_SHINGLES),
-                   F.ceil(F.count("*") / BLOCK_SETS)).cast("int").alias("n"))
-    packed = settle(
-        members.join(settle(room, "room"), "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("n")).cast("int"))
-        .groupBy("cluster", "block", "n")
-        .agg(F.collect_list(F.struct("k1", "copies", "values")).alias("sets")), "blocks")
-    left = packed.select("cluster", F.col("block").alias("other"), "sets",
-                         F.explode(F.sequence("block", F.col("n") - 1)).alias("block"))
-    right = packed.select("cluster", "block", F.col("sets").alias("others"))
-    pairs = left.join(right, ["cluster", "block"]).select(
-        "sets", F.when(F.col("other") == F.col("block"), F.array().cast(packed.schema["sets"].dataType))
-        .otherwise(F.col("others")).alias("others"))
+    """(node, root, n_links) rows of verified links from members with cluster, block, n, k1, copies and values. Most clusters
+    are one block; only blocks of larger ones are moved to meet others."""
+    packed = settle(members.groupBy("cluster", "block", "n").agg(
+        F.collect_list(F.struct("k1", "copies", "values")).alias("sets")), "blocks")
+    alone = packed.select("sets", F.array().cast(packed.schema["sets"].dataType).alias("others"))
+    many = packed.where("n > 1")
+    left = many.where("block < n - 1").select("cluster", "sets", F.explode(F.sequence(
+        F.col("block") + 1, F.col("n") - 1)).alias("block"))
+    right = many.select("cluster", "block", F.col("sets").alias("others"))
+    pairs = alone.unionByName(left.join(right, ["cluster", "block"]).select("sets", "others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,9 +322,8 @@ def classes(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame,
     groups = settle(real.groupBy("k1", "k2").agg(
         F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")), "groups")
     members = settle(shared_enough(docs, groups, width, num, den), "members")
-    sets = settle(fetch_sets(docs, members, width), "sets")
-    clusters = candidate_clusters(sets, num, den)
-    links = settle(verified(sets.join(clusters.withColumnRenamed("node", "k1"), "k1"), num, den), "links")
+    placed = places(members, candidate_clusters(docs, members, width, num, den))
+    links = settle(verified(fetch_sets(docs, placed, width), num, den), "links")
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), "classes")
     degree = links.groupBy("node").agg(F.sum("n_links").alias("near"))
     told = settle(
@@ -353,7 +373,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, num: int = NUM, den: int = D
     return once.unionByName(more).select(docs.columns)
 
 
-def listed(ids: DataFrame) -> DataFrame:
+def listed(ids: DataFrame, most: int | None = None) -> DataFrame:
     """Ids to look for in a scan of whole texts: sent along if they are few, shuffled otherwise."""
     ids = settle(ids, "ids")
-    return F.broadcast(ids) if ids.count() <= LISTED_IDS else ids
+    return F.broadcast(ids) if ids.count() <= (LISTED_IDS if most is None else most) else ids

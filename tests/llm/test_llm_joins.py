@@ -349,3 +349,26 @@ def test_a_shard_gets_shared_words_only(spark, monkeypatch):
     got = plain(phrases.dedup(docs(spark, [(d, t, None, None) for d, t in rows])))
     assert sorted(got) == brute_phrases(rows)
     assert sorted(sent) == [30, 30, 60]
+
+
+def test_join_moves_a_set_once_and_only_inside_a_cluster(spark, monkeypatch):
+    moved, given = {}, ngram_join.settle
+
+    def seen(frame, name):
+        if "values" in frame.columns or "sets" in frame.columns:
+            moved[name] = frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        return given(frame, name)
+
+    monkeypatch.setattr(ngram_join, "settle", seen)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)  # several blocks in a cluster
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables beyond it are joined
+    words = [f"w{k}" for k in range(400)]
+    near = [" ".join([*words[:9 * i], f"x{i}", *words[9 * i + 1:]]) for i in range(9)]
+    rows = [(i, t) for i, t in enumerate([*near, near[3], prose(1), prose(2), "", None])] + [(4, near[4]), (4, prose(5)), (None, near[0])]
+    try:
+        got = plain(ngram_join.join(docs(spark, [(d, t, None, None) for d, t in rows])))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert sorted(got, key=str) == brute_join(rows)
+    assert sum(moved.values()) == 1
