@@ -105,8 +105,8 @@ class Words(NamedTuple):
         return b" ".join(self.body[self.start[a]:self.end[b - 1]].split()) if b > a else b""
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of about CHUNK_BYTES with their bytes and row offsets; null counts as empty."""
+def text_chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row ranges of about `size` bytes with their bytes and row offsets; null counts as empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -117,7 +117,7 @@ def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     body = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         hi = min(hi, n)
         yield lo, hi, body[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi

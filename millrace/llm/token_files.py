@@ -24,11 +24,12 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_chunks
+from millrace.llm.common import BATCH_BYTES, text_chunks
 from millrace.session import scratch_path
 
 END_ID = 2
@@ -38,9 +39,10 @@ PAGE_ROWS = 2_000
 PART_CHARS = 8_000_000
 MEMORY_PIECES = 800_000
 LONG_PIECE = 100
-TOGETHER = 128  # pieces encoded as one text
+TOGETHER = 512  # pieces encoded as one text
 MARKS = ".,;:!?"
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
+_PLAIN = re.compile(r"\n?\S+").fullmatch
 
 
 class Encoder:
@@ -68,21 +70,21 @@ class Encoder:
     def _encode(self, keys: list[str]) -> None:
         """Pieces whose only white space is their first character stand side by side in one text, which falls apart into
         them again by the sizes of its tokens. Others go one by one."""
-        whole = {k: k if k[0] in " \n" else " " + k for k in keys}
-        plain = [k for k in keys if whole[k][1:].split() == [whole[k][1:]]]
+        plain = [k for k in keys if _PLAIN(k)]
+        whole = [k if k[0] == "\n" else " " + k for k in plain]
+        ends = np.cumsum(pc.binary_length(pa.array(whole, pa.large_string())).to_numpy(zero_copy_only=False))
         for low in range(0, len(plain), TOGETHER):
-            some = plain[low:low + TOGETHER]
-            texts = [whole[k] for k in some]
-            ids = self._ids("x" + "".join(texts))
-            ends = np.cumsum(self.sizes[ids])
-            cuts = 1 + np.cumsum([0, *(len(t.encode()) for t in texts)])
-            at = np.searchsorted(ends, cuts)
-            if at[-1] < len(ends) and (ends[at] == cuts).all():
+            some = slice(low, low + TOGETHER)
+            ids = self._ids("x" + "".join(whole[some]))
+            stops = np.cumsum(self.sizes[ids])
+            cuts = 1 + np.append(0, ends[some] - (ends[low - 1] if low else 0))
+            at = np.searchsorted(stops, cuts)
+            if at[-1] < len(stops) and (stops[at] == cuts).all():
                 body, marks = ids.tobytes(), ((at + 1) * 4).tolist()
-                self.later.update(zip(some, [body[a:b] for a, b in zip(marks, marks[1:])]))
+                self.later.update(zip(plain[some], [body[a:b] for a, b in zip(marks, marks[1:])]))
         for k in keys:
             if k not in self.later:
-                self.later[k] = self._ids(whole[k]).tobytes()
+                self.later[k] = self._ids(k if k[0] in " \n" else " " + k).tobytes()
 
     def _learn(self, keys: set[str]) -> None:
         """A word and the marks after its last letter are never joined, so the word is encoded once for all its marks."""
@@ -94,24 +96,6 @@ class Encoder:
                 self.tails[tail] = self._ids("x" + tail)[len(self._ids("x")):].tobytes()
             self.later[k] = self.later[c] + self.tails[tail]
 
-    def _cut(self, text: str) -> tuple[list[str], list[bytes | bool | None]]:
-        """The first piece of a text as it is and the keys of the others, and what is known of each."""
-        words = text.replace("\n", " \n").split(" ")
-        known = list(map(self.later.get, words))
-        known[0] = self._first(words[0]) if words[0][-1:].strip() or not words[0] else False
-        if None in known:
-            strange = {w for w, k in zip(words, known) if k is None
-                       and (not w or (w[1:] if w[0] == "\n" else w)[:1].isspace() or w[-1].isspace())}
-            if strange:
-                self.later.update((w, False) for w in strange if len(w) <= LONG_PIECE)
-                known[0] = False
-        if False not in known:
-            return words, known
-        pieces = _CUT.split(text)  # this text is not cut at every space and line feed
-        keys = [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p for p in pieces[1:]]
-        return [pieces[0], *keys], [self._first(pieces[0]), *(self.odd.get(k) if k[-1].isspace() else self.later.get(k)
-                                                              for k in keys)]
-
     def _first(self, piece: str) -> bytes:
         if len(piece) > LONG_PIECE:
             return self._ids(piece).tobytes()
@@ -119,24 +103,84 @@ class Encoder:
             self.first[piece] = self._ids(piece).tobytes()
         return self.first[piece]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian integers of 32 bits."""
+    def __call__(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text, as little-endian integers of 32 bits. A word is looked up once for all its places."""
+        if not len(texts):
+            return []
         if len(self.first) + len(self.later) + len(self.odd) > MEMORY_PIECES:
             self.first, self.odd = {"": b""}, {}
             self.later = dict(islice(self.later.items(), MEMORY_PIECES // 3))
-        cut = [self._cut(t) for t in texts]
-        new = {w for words, known in cut if None in known for w, k in zip(words, known) if k is None}
-        alone = {w for w in new if w[-1].isspace()}  # only a text that is cut otherwise has such pieces
-        self._learn(new - alone)
-        for w in alone:
-            self.odd[w] = self._ids(w if w[0] in " \n" else " " + w).tobytes()
-        out = [b"".join([k if k is not None else self.odd[w] if w in alone else self.later[w] for w, k in zip(words, known)])
-               if None in known else b"".join(known) for words, known in cut]
-        for w in [w for w in new if len(w) > LONG_PIECE]:  # what is long hardly comes again
-            self.later.pop(w, None)
-            self.odd.pop(w, None)
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        told, at = cut.values.dictionary_encode(), cut.offsets.to_numpy()
+        place, begins = told.indices.to_numpy().astype(np.int64), at[:-1]
+        rest = np.ones(len(place), dtype=bool)
+        rest[begins] = False
+        used = np.zeros(len(told.dictionary), dtype=bool)
+        used[place[rest]] = True
+        words = _strings(told.dictionary.filter(pa.array(used)))
+        known = self._known(words)
+        known += [self._first(w) if w[-1:].strip() or not w else False
+                  for w in _strings(told.dictionary.take(pa.array(place[begins])))]
+        place = (np.cumsum(used) - 1)[place]
+        place[begins] = np.arange(len(words), len(known))
+        size = np.fromiter((len(k) >> 2 if k else 0 for k in known), np.int64, len(known))
+        count = size[place]
+        stop = np.cumsum(count)
+        ids = np.frombuffer(b"".join([k for k in known if k]), "<i4")[
+            np.repeat((np.cumsum(size) - size)[place] - stop + count, count) + np.arange(stop[-1])]
+        body, ends = ids.tobytes(), (4 * stop[at[1:] - 1]).tolist()
+        out = [body[a:b] for a, b in zip([0, *ends], ends)]
+        if False in known:
+            strange = np.fromiter((k is False for k in known), bool, len(known))[place]
+            odd = np.flatnonzero(np.logical_or.reduceat(strange, begins)).tolist()
+            for i, own in zip(odd, self._uneven([texts[i].as_py() for i in odd])):
+                out[i] = own
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes | bool]:
+        """The ids of each of some distinct words, which follow a space or begin with a line feed; False: a text with such a
+        word is not cut at every space and line feed."""
+        known = list(map(self.later.get, words))
+        if None not in known:
+            return known
+        at = [i for i, k in enumerate(known) if k is None]
+        new = [words[i] for i in at]
+        strange = {w for w in new if not w or (w[1:] if w[0] == "\n" else w)[:1].isspace() or w[-1].isspace()}
+        self.later.update(dict.fromkeys(strange, False))
+        self._learn(set(new) - strange if strange else set(new))
+        for i, k in zip(at, map(self.later.get, new)):
+            known[i] = k
+        self._drop_long(new)
+        return known
+
+    def _uneven(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are not cut at every space and line feed."""
+        cut = []
+        for text in texts:
+            pieces = _CUT.split(text)
+            cut.append((pieces[0], [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p for p in pieces[1:]]))
+        met = {k for _, keys in cut for k in keys}
+        alone = {k for k in met if k[-1].isspace()}  # only a text that is cut otherwise has such pieces
+        new = {k for k in met - alone if k not in self.later}
+        self._learn(new)
+        for k in alone.difference(self.odd):
+            self.odd[k] = self._ids(k if k[0] in " \n" else " " + k).tobytes()
+        out = [b"".join([self._first(first), *(self.odd[k] if k in alone else self.later[k] for k in keys)])
+               for first, keys in cut]
+        self._drop_long(new | alone)
         return out
 
+    def _drop_long(self, words: list[str] | set[str]) -> None:
+        for w in words:
+            if len(w) > LONG_PIECE:  # what is long hardly comes again
+                self.later.pop(w, None)
+                self.odd.pop(w, None)
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -166,9 +210,9 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, parts: int | None
         encode, before, part = encoder(path), 0, TaskContext.get().partitionId()
         stop = np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
-            for lo, hi, data, rows in text_chunks(batch.column(1)):
-                body, at = data.tobytes(), rows.tolist()
-                told = [t + stop for t in encode([body[a:b].decode() for a, b in zip(at[:-1], at[1:])])]
+            texts = batch.column(1).cast(pa.large_string())
+            for lo, hi, _, _ in text_chunks(texts, BATCH_BYTES):
+                told = [t + stop for t in encode(texts.slice(lo, hi - lo))]
                 n = np.array([len(t) // 4 for t in told])
                 ends = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()),

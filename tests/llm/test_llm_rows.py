@@ -328,3 +328,19 @@ OPEN_PAGES = [
 @pytest.mark.parametrize("page, want", OPEN_PAGES)
 def test_pages_without_end_tags(spark, page, want):
     assert html_main.main_text(html_main.fit(table(spark, "pages")), page) == want
+
+
+def test_encoder_looks_a_word_up_once_for_all_its_places():
+    encode = token_files.Encoder(tokenizer_file())
+    asked = []
+
+    class Kept(dict):
+        def get(self, key, *default):
+            asked.append(key)
+            return super().get(key, *default)
+
+    encode.later = Kept()
+    texts = ["the mill, the river\nand the mill", "a mill", "the the the the", "the\tmill the ", ""] * 3
+    for text, own in zip(texts, encode(texts)):
+        assert np.frombuffer(own, "<i4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
+    assert asked.count("the") <= 2 and asked.count("mill") <= 2  # as known, and after it was learned
