@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.scan import read_records
-from millrace.session import prepare, scratch_path, spread_small
+from millrace.session import prepare, scratch_path, settle, spread_small
 
 # Records before this time are the current table, those from it on are incoming.
 SPLIT = "2024-01-04 00:00:00"
@@ -216,6 +216,13 @@ class Inputs:
         others = {n: self.table(n) for n in ("part", "customer", "nation")}
         return self._sql(POSTINGS, events=self.spread("events"), **others)
 
+    def held(self) -> Inputs:
+        """The same inputs with the postings written once, for a query that reads them many times: each reading joins the
+        events to the whole of the smaller tables, which go through the driver every time."""
+        twin, rows = Inputs(self.spark, self.dir), settle(self.postings(), "postings")
+        twin.postings = lambda: rows
+        return twin
+
     @cache
     def board(self) -> DataFrame:
         return read_records(self._sql(BOARD, postings=self.postings()))

@@ -74,6 +74,7 @@ def admit_existing(x: Inputs) -> DataFrame:
 
 def token_lookup(x: Inputs) -> DataFrame:
     """admit_existing from a standing index, which has followed an update of the table."""
+    x = x.held()
     index = TokenIndex(x.spark, scratch_path(x.spark, "tokens"), WORDS).start(x.board())
     hits, changes = _updated(x)
     after = settle(merge.apply_changes(x.board(), changes, hits, AS_OF), "after")

@@ -64,3 +64,17 @@ def test_intent_files_are_written_by_all_tasks(spark):
     files = list(Path(Inputs(spark, "/root/testdata/sf0.01").outbox()).glob("name=*/part-*"))
     assert len(files) > 60 and len({f.parent for f in files}) == len(files)
     assert len({f.name[:10] for f in files}) >= 6
+
+
+def test_token_lookup_joins_its_postings_once(spark, monkeypatch):
+    from millrace.plans.fixtures import Inputs
+    made, given = [], Inputs._sql
+
+    def seen(self, text, **frames):
+        made.append(given(self, text, **frames))
+        return made[-1]
+
+    monkeypatch.setattr(Inputs, "_sql", seen)
+    QUERIES["token_lookup"](spark, SF_DIR)
+    from_tables = [f for f in made if any("customer.parquet" in n for n in f.inputFiles())]
+    assert len(from_tables) == 1
