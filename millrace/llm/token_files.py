@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -37,10 +38,10 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 PART_CHARS = 8_000_000
-MEMORY_PIECES = 800_000
+MEMORY_PIECES = 500_000
 LONG_PIECE = 100
 TOGETHER = 512  # pieces encoded as one text
-MARKS = ".,;:!?"
+MARKS = string.punctuation
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
 _PLAIN = re.compile(r"\n?\S+").fullmatch
 
@@ -67,11 +68,12 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<i4")
 
-    def _encode(self, keys: list[str]) -> None:
-        """Pieces whose only white space is their first character stand side by side in one text, which falls apart into
+    def _learn(self, words: list[str]) -> None:
+        """Words whose only white space is their first character stand side by side in one text, which falls apart into
         them again by the sizes of its tokens. Others go one by one."""
-        plain = [k for k in keys if _PLAIN(k)]
-        whole = [k if k[0] == "\n" else " " + k for k in plain]
+        plain = [w for w in words if _PLAIN(w)]
+        rest = [w for w in words if not _PLAIN(w)] if len(plain) < len(words) else []
+        whole = [w if w[0] == "\n" else " " + w for w in plain]
         ends = np.cumsum(pc.binary_length(pa.array(whole, pa.large_string())).to_numpy(zero_copy_only=False))
         for low in range(0, len(plain), TOGETHER):
             some = slice(low, low + TOGETHER)
@@ -82,19 +84,16 @@ class Encoder:
             if at[-1] < len(stops) and (stops[at] == cuts).all():
                 body, marks = ids.tobytes(), ((at + 1) * 4).tolist()
                 self.later.update(zip(plain[some], [body[a:b] for a, b in zip(marks, marks[1:])]))
-        for k in keys:
-            if k not in self.later:
-                self.later[k] = self._ids(k if k[0] in " \n" else " " + k).tobytes()
-
-    def _learn(self, keys: set[str]) -> None:
-        """A word and the marks after its last letter are never joined, so the word is encoded once for all its marks."""
-        cores = {k: c for k in keys if (c := k.rstrip(MARKS)) != k and len(k) <= LONG_PIECE and c[-1:].isalpha()}
-        self._encode(list(keys.difference(cores).union(cores.values()).difference(self.later)))
-        for k, c in cores.items():
-            tail = k[len(c):]
-            if tail not in self.tails:
-                self.tails[tail] = self._ids("x" + tail)[len(self._ids("x")):].tobytes()
-            self.later[k] = self.later[c] + self.tails[tail]
+            else:
+                rest += plain[some]
+        for w in rest:
+            strange = not w or (w[1:] if w[0] == "\n" else w)[:1].isspace() or w[-1].isspace()
+            self.later[w] = False if strange else self._ids(w if w[0] in " \n" else " " + w).tobytes()
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            self.tails[marks] = self._ids("x" + marks)[len(self._ids("x")):].tobytes()
+        return self.tails[marks]
 
     def _first(self, piece: str) -> bytes:
         if len(piece) > LONG_PIECE:
@@ -107,8 +106,8 @@ class Encoder:
         """The ids of each text, as little-endian integers of 32 bits. A word is looked up once for all its places."""
         if not len(texts):
             return []
-        if len(self.first) + len(self.later) + len(self.odd) > MEMORY_PIECES:
-            self.first, self.odd = {"": b""}, {}
+        if len(self.first) + len(self.later) + len(self.odd) + len(self.tails) > MEMORY_PIECES:
+            self.first, self.odd, self.tails = {"": b""}, {}, {}
             self.later = dict(islice(self.later.items(), MEMORY_PIECES // 3))
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
@@ -118,19 +117,16 @@ class Encoder:
         rest[begins] = False
         used = np.zeros(len(told.dictionary), dtype=bool)
         used[place[rest]] = True
-        words = _strings(told.dictionary.filter(pa.array(used)))
-        known = self._known(words)
+        known = self._known(told.dictionary.filter(pa.array(used)))
+        words = len(known)
         known += [self._first(w) if w[-1:].strip() or not w else False
                   for w in _strings(told.dictionary.take(pa.array(place[begins])))]
         place = (np.cumsum(used) - 1)[place]
-        place[begins] = np.arange(len(words), len(known))
-        size = np.fromiter((len(k) >> 2 if k else 0 for k in known), np.int64, len(known))
-        count = size[place]
-        stop = np.cumsum(count)
-        ids = np.frombuffer(b"".join([k for k in known if k]), "<i4")[
-            np.repeat((np.cumsum(size) - size)[place] - stop + count, count) + np.arange(stop[-1])]
-        body, ends = ids.tobytes(), (4 * stop[at[1:] - 1]).tolist()
-        out = [body[a:b] for a, b in zip([0, *ends], ends)]
+        place[begins] = np.arange(words, len(known))
+        ids = pa.array([k or b"" for k in known], pa.large_binary()).take(pa.array(place))
+        body = ids.buffers()[2].to_pybytes()
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[at].tolist()
+        out = [body[a:b] for a, b in zip(ends, ends[1:])]
         if False in known:
             strange = np.fromiter((k is False for k in known), bool, len(known))[place]
             odd = np.flatnonzero(np.logical_or.reduceat(strange, begins)).tolist()
@@ -138,21 +134,29 @@ class Encoder:
                 out[i] = own
         return out
 
-    def _known(self, words: list[str]) -> list[bytes | bool]:
+    def _known(self, words: pa.Array) -> list[bytes | bool]:
         """The ids of each of some distinct words, which follow a space or begin with a line feed; False: a text with such a
-        word is not cut at every space and line feed."""
-        known = list(map(self.later.get, words))
-        if None not in known:
-            return known
-        at = [i for i, k in enumerate(known) if k is None]
-        new = [words[i] for i in at]
-        strange = {w for w in new if not w or (w[1:] if w[0] == "\n" else w)[:1].isspace() or w[-1].isspace()}
-        self.later.update(dict.fromkeys(strange, False))
-        self._learn(set(new) - strange if strange else set(new))
-        for i, k in zip(at, map(self.later.get, new)):
-            known[i] = k
-        self._drop_long(new)
-        return known
+        word is not cut at every space and line feed. A letter and a mark after it are never joined, so a word that ends
+        in marks is looked up without them."""
+        cores = pc.ascii_rtrim(words, MARKS)
+        apart = pc.and_(pc.match_substring_regex(cores, r"\pL$"), pc.less_equal(pc.binary_length(words), LONG_PIECE))
+        told = pc.if_else(apart, cores, words).dictionary_encode()
+        keys = _strings(told.dictionary)
+        known = list(map(self.later.get, keys))
+        if None in known:
+            at = [i for i, k in enumerate(known) if k is None]
+            new = [keys[i] for i in at]
+            self._learn(new)
+            for i, k in zip(at, map(self.later.get, new)):
+                known[i] = k
+            self._drop_long(new)
+        out = [known[i] for i in told.indices.to_numpy().tolist()]
+        more = np.where(apart.to_numpy(zero_copy_only=False), pc.subtract(pc.binary_length(words), pc.binary_length(cores)), 0)
+        at = np.flatnonzero(more)
+        for i, w, n in zip(at.tolist(), _strings(words.take(pa.array(at))), more[at].tolist()):
+            if out[i]:
+                out[i] += self.tails.get(w[-n:]) or self._tail(w[-n:])
+        return out
 
     def _uneven(self, texts: list[str]) -> list[bytes]:
         """The ids of texts that are not cut at every space and line feed."""
@@ -162,13 +166,13 @@ class Encoder:
             cut.append((pieces[0], [p[1:] if p[0] == " " and len(p) > 1 and not p[1].isspace() else p for p in pieces[1:]]))
         met = {k for _, keys in cut for k in keys}
         alone = {k for k in met if k[-1].isspace()}  # only a text that is cut otherwise has such pieces
-        new = {k for k in met - alone if k not in self.later}
-        self._learn(new)
+        others = list(met - alone)
+        told = dict(zip(others, self._known(pa.array(others, pa.large_string()))))
         for k in alone.difference(self.odd):
             self.odd[k] = self._ids(k if k[0] in " \n" else " " + k).tobytes()
-        out = [b"".join([self._first(first), *(self.odd[k] if k in alone else self.later[k] for k in keys)])
+        out = [b"".join([self._first(first), *(self.odd[k] if k in alone else told[k] for k in keys)])
                for first, keys in cut]
-        self._drop_long(new | alone)
+        self._drop_long(alone)
         return out
 
     def _drop_long(self, words: list[str] | set[str]) -> None:

@@ -344,3 +344,12 @@ def test_encoder_looks_a_word_up_once_for_all_its_places():
     for text, own in zip(texts, encode(texts)):
         assert np.frombuffer(own, "<i4").tolist() == encode.library.encode(text, add_special_tokens=False).ids
     assert asked.count("the") <= 2 and asked.count("mill") <= 2  # as known, and after it was learned
+
+
+def test_encoder_keeps_a_word_once_whatever_marks_follow_it():
+    encode = token_files.Encoder(tokenizer_file())
+    marks = ["", ".", "***", "'", ".$$$", "\"),", "_"]
+    texts = ["x" + "".join(f" {w}{m}" for m in marks) + f"\n{w}%%% it's 'S{m}" for w in ("sheerely", "don't", "Größe") for m in marks]
+    assert encode(texts) == [encode._ids(t).tobytes() for t in texts]
+    assert not {"sheerely.", "sheerely***", "Größe'", "don't_"} & set(encode.later)
+    assert {"sheerely", "\nsheerely", "Größe", "don't"} <= set(encode.later)
