@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import string
+import threading
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -40,6 +41,7 @@ PAGE_ROWS = 2_000
 PART_CHARS = 8_000_000
 MEMORY_PIECES = 500_000
 LONG_PIECE = 100
+IDLE_SECONDS = 5
 TOGETHER = 512  # pieces encoded as one text
 MARKS = string.punctuation
 _CUT = re.compile(r"(?= \S)|(?<=\S)(?=\n\S)")
@@ -187,15 +189,32 @@ def _strings(column: pa.Array) -> list[str]:
 
 
 _encoders: dict[str, Encoder] = {}
+_idle: dict[str, threading.Timer] = {}
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder: what it keeps serves the tasks that follow in the same process."""
+    if path in _idle:
+        _idle.pop(path).cancel()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def _rest(path: str) -> None:
+    """A task is through. A worker also serves other stages, so an encoder that no task takes up again soon is let go."""
+    def forget() -> None:
+        if _idle.get(path) is timer:
+            del _idle[path]
+            _encoders.pop(path, None)
+            pa.default_memory_pool().release_unused()
+
+    timer = threading.Timer(IDLE_SECONDS, forget)
+    timer.daemon = True
+    _idle[path] = timer
+    timer.start()
+
+
 def encoded(docs: DataFrame, path: str, end_id: int = END_ID, parts: int | None = None) -> DataFrame:
     """doc_id, n_tokens, part, start_in_part, ids in ascending order of doc_id.
 
@@ -225,6 +244,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID, parts: int | None
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(np.full(len(n), part, np.int32)),
                      pa.array(before + ends - n), lists], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
                 before += int(ends[-1])
+        _rest(path)
 
     return dealt.mapInArrow(run, "doc_id long, n_tokens long, part int, start_in_part long, ids array<int>")
 

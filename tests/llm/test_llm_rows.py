@@ -4,6 +4,7 @@ import array
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -353,3 +354,16 @@ def test_encoder_keeps_a_word_once_whatever_marks_follow_it():
     assert encode(texts) == [encode._ids(t).tobytes() for t in texts]
     assert not {"sheerely.", "sheerely***", "Größe'", "don't_"} & set(encode.later)
     assert {"sheerely", "\nsheerely", "Größe", "don't"} <= set(encode.later)
+
+
+def test_an_encoder_no_task_takes_up_again_is_let_go(monkeypatch):
+    monkeypatch.setattr(token_files, "IDLE_SECONDS", 0.2)
+    path = tokenizer_file()
+    first = token_files.encoder(path)
+    token_files._rest(path)
+    assert token_files.encoder(path) is first  # the next task in time
+    time.sleep(0.5)
+    assert token_files.encoder(path) is first  # that task is not through
+    token_files._rest(path)
+    time.sleep(0.5)
+    assert path not in token_files._encoders
