@@ -72,6 +72,33 @@ def test_sweep_equals_states_joined_with_states(spark, seed):
     assert got == want and len(got) == len(pairs)
 
 
+def broadcasts(frame):
+    """The subtrees that a plan sends to all tasks, as lists of lines."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    found = []
+    for n, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = n + 1
+            while below < len(lines) and depth(lines[below]) > depth(line):
+                below += 1
+            found.append(lines[n:below])
+    return found
+
+
+def test_snapshots_go_to_the_copies_not_copies_to_them(spark, tmp_path):
+    """Copies that are small as files are many rows; what is sent to all tasks is a row per snapshot."""
+    path = str(tmp_path / "copies")
+    times = spark.createDataFrame([(dt(2024, 1, d), "baseline") for d in range(1, 6)], "snap_ts timestamp_ntz, label string")
+    rows = spark.range(1000).select(F.col("id").alias("row_no"), *[F.lit("x").alias(f) for f in STATES])
+    times.crossJoin(rows).write.parquet(path)
+    copies = spark.read.parquet(path)
+    events = history.events_of(copies, STATES)
+    sent = broadcasts(events)
+    assert sent and not any("row_no" in line for tree in sent for line in tree)
+    assert events.count() == 1000
+
+
 def test_recorded_states_come_back(spark, tmp_path):
     def table(*rows):
         return read_records(spark.createDataFrame(list(rows), "row_no long, company string, title string, stage string"))
