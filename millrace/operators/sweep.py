@@ -105,9 +105,10 @@ def transition_counts(windows: DataFrame, intervals: DataFrame, snaps: DataFrame
     until = F.greatest(day("older"), F.least(day("newer"), last))
     days = real.withColumn("day", F.explode(F.array_distinct(F.concat(
         F.sequence(day("older"), until), F.array(day("newer"))))))
-    inside = (days.join(known.withColumn("day", day("at")), "day")
-              .where((F.col("older") < F.col("at")) & (F.col("at") <= F.col("newer")))
-              .select("report_ts", "window", "at"))
+    # written, so that Spark knows how few they are and sends them, not the versions, to all tasks
+    inside = settle(days.join(known.withColumn("day", day("at")), "day")
+                    .where((F.col("older") < F.col("at")) & (F.col("at") <= F.col("newer")))
+                    .select("report_ts", "window", "at"), "inside")
     moved = versions.join(inside, "at").groupBy("report_ts", "window", "name_key").agg(
         F.max_by("state", "at").alias("now"), F.min_by(F.struct("was"), "at")["was"].alias("before"))
     now, before = F.col("now"), F.col("before")

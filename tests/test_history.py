@@ -99,6 +99,21 @@ def test_snapshots_go_to_the_copies_not_copies_to_them(spark, tmp_path):
     assert events.count() == 1000
 
 
+def test_windows_go_to_the_versions_not_versions_to_them(spark):
+    pair = "struct<snap_ts:timestamp_ntz,label:string>"
+    times = [(dt(2024, 1, d), "baseline") for d in range(1, 6)]
+    windows = spark.createDataFrame([(dt(2024, 2, d), "w", times[d], times[0], times[0]) for d in range(1, 5)],
+                                    f"report_ts timestamp_ntz, window string, newer {pair}, older {pair}, shown {pair}")
+    versions = spark.range(5000).select(
+        F.col("id").alias("row_no"), F.concat(F.lit("c"), "id").alias("company"), F.lit("t").alias("title"), F.lit("").alias("move"),
+        F.lit("📤 Applied").alias("stage"),
+        F.struct(F.lit("2024-01-02").cast("timestamp_ntz").alias("snap_ts"), F.lit("baseline").alias("label")).alias("valid_from"), F.lit(None).cast(pair).alias("valid_to"))
+    counts = sweep.transition_counts(windows, versions, spark.createDataFrame(times, "snap_ts timestamp_ntz, label string"), WORDS)
+    sent = broadcasts(counts)
+    assert not any("name_key" in line for tree in sent for line in tree if "FileScan" in line)
+    assert {tuple(r[c] for c in sweep.COUNTED) for r in counts.collect()} == {(5000, 5000, 0, 0, 0)}
+
+
 def test_recorded_states_come_back(spark, tmp_path):
     def table(*rows):
         return read_records(spark.createDataFrame(list(rows), "row_no long, company string, title string, stage string"))
